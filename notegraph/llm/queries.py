@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notegraph.llm import packing
+from notegraph.llm import bpe, packing
 from notegraph.llm.common import table
 
 
@@ -16,6 +17,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text by the multilingual 50k ranks."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    ids = F.col("token_ids")
+    return coded.select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(bpe.packed(ids, len(bpe.piece_table(path))), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(ids, path), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
