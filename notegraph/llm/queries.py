@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, chat, packing, secrets
+from notegraph.llm import bpe, chat, lz, packing, pii, secrets
 from notegraph.llm.common import table
 
 
@@ -38,6 +38,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of every text, of its edit and its next document's likeness."""
+    return lz.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "scores")
+
+
 def _joined(spans, separator: str = ","):
     return F.array_join(F.transform(spans, lambda s: s["shown"]), separator)
 
