@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, chat, lz, packing, pii, secrets
+from notegraph.llm import bpe, chat, lz, packing, pii, quality, secrets, topk
 from notegraph.llm.common import table
 
 
@@ -17,6 +17,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector among all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and one that tries to forge marks, and reads the output back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,6 +44,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; labels are learned outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    out = quality.score(docs, model)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase fingerprints of every text, of its edit and its next document's likeness."""
     return lz.compare_neighbours(table(spark, sf_dir, "documents"))
