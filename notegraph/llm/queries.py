@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, chat, lz, packing, pii, quality, secrets, topk
+from notegraph.llm import bpe, chat, jaccard, lz, packing, pii, quality, secrets, topk
 from notegraph.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), "n_live", "n_copied")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles overlap by nine tenths."""
+    return jaccard.join(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
