@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; with long texts, Spark's default of 10,000 rows would fill a worker's memory.
 ARROW_ROWS = 256
+#: Rows of a few longs that may be broadcast (16 to 32 MB).
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count shows that it is small enough; the join shuffles it otherwise. For narrow rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession

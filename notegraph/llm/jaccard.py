@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import small_batches, stored
+from notegraph.llm.common import sized, small_batches, stored
 from notegraph.llm.graph import components
 
 U = np.uint64
@@ -28,8 +28,6 @@ P1, P2, P3 = U(0x9E3779B185EBCA87), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 WORDS = 500_000
 #: Documents of one candidate component that a task verifies together; larger components go by pairs of blocks.
 BLOCK = 2048
-#: Ids that may be broadcast (16 MB); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 FORWARD_DOCS = 2048
 
 
@@ -296,8 +294,7 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_c
     sizes = nodes.groupBy("c").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     chosen = stored(nodes.join(sizes, "c").select("node", "rep", "copies", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")), "chosen")
-    some = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    texts = rows.join(some, F.col("doc_id") == F.col("rep"))
+    texts = rows.join(sized(chosen), F.col("doc_id") == F.col("rep"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("c", "blocks", "block", each, "node", "copies", "text").select(
         "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), (F.col("blocks") == 1).alias("whole"), "node", "copies", "text"
@@ -320,5 +317,5 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_c
 def drop_near_copies(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that are not the first (by id) of their component; rows of one id stay together, and rows without an id stay."""
     found = join(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    gone = stored(found.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(sized(gone), F.col(id_col).cast("long") == F.col("gone"), "left_anti")

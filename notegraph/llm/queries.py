@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import bpe, chat, jaccard, lz, packing, pii, quality, secrets, topk
+from notegraph.llm import bpe, chat, jaccard, lines, lz, packing, pii, quality, secrets, topk
 from notegraph.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(turns)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose templates recur."""
+    return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text by the multilingual 50k ranks."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
