@@ -106,7 +106,7 @@ class Signatures:
         some = filled[:, one] | filled[:, two]
         out = sig[some]
         if (empty := np.argwhere(~some)).shape[0] > 1:
-            pairs = [mix(np.array([tag[i, t] * P1 + tag[j, v]], U)) for x, (i, t) in enumerate(empty) for j, v in empty[x + 1 :] if i != j]
+            pairs = [mix(tag[i, t : t + 1] * P1 + tag[j, v : v + 1]) for x, (i, t) in enumerate(empty) for j, v in empty[x + 1 :] if i != j]
             out = np.concatenate([out, *pairs])
         return out
 
