@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from notegraph.schemas import NOTE_KINDS
 
@@ -146,7 +147,7 @@ def end_of_day(day: Column) -> Column:
     return F.to_timestamp(F.date_add(day, 1)) - F.expr("interval 1 microsecond")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def hmac_sha256(secret: pd.Series, message: pd.Series) -> pd.Series:
     """Lower-case hex; the JVM has no such function for columns."""
     import hashlib
