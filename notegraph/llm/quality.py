@@ -85,7 +85,7 @@ class Model:
             new = max(top, float(e.max()))
             shrink, part = np.exp(top - new), np.exp(e - new)
             weight, total, top = weight * shrink + part.sum(), total * shrink + part @ h, new
-        return float(_sigmoid(total / weight @ self.p["c"] + self.p["d"]))
+        return float(_sigmoid(total / weight @ self.p["c"] + self.p["d"][0]))
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, hidden: int = 32, gates: int = 16, epochs: int = 40, rate: float = 3e-3, seed: int = 7) -> Model:
