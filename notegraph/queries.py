@@ -446,7 +446,7 @@ def reflection_meta_window(spark, sf):
     return memory.meta_window(a.reflections(spark, sf), "meta", NOW).select("reflection_id", "scope", "summary")
 
 
-@query(f"WITH {V_NOTES}, {_WINDOW} SELECT string_agg('- [' || strftime(created_at, '%Y-%m-%d') || '] (' || context || ') ' || content, chr(10) ORDER BY created_at DESC, note_id DESC) AS body, count(*) AS n FROM w")
+@query(f"WITH {V_NOTES}, {_WINDOW} SELECT coalesce(string_agg('- [' || strftime(created_at, '%Y-%m-%d') || '] (' || context || ') ' || content, chr(10) ORDER BY created_at DESC, note_id DESC), '') AS body, count(*) AS n FROM w")
 def reflection_body(spark, sf):
     return memory.reflection_body(memory.reflection_window(a.notes(spark, sf), "2024-01-20 00:00:00"))
 
@@ -565,7 +565,7 @@ def markdown_render(spark, sf):
     return connectors.rendered_notes(a.raw_notes(spark, sf))
 
 
-@query("SELECT doc_id, doc_id % 3 <> 0 AS has_header, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body_chars FROM documents")
+@query(r"SELECT doc_id, doc_id % 3 <> 0 AS has_header, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body_chars FROM documents")
 def frontmatter_split(spark, sf):
     d = a.read(spark, sf, "documents").withColumn("t", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("---\nkind: General\n---\n"), "text")))
     return d.select("doc_id", f.frontmatter(F.col("t")).isNotNull().alias("has_header"), F.char_length(f.body(F.col("t"))).cast("long").alias("body_chars"))
