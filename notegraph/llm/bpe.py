@@ -1,8 +1,8 @@
 """Byte-level BPE in Spark's higher-order functions.
 
-A text's pieces come from one regular expression. A piece's bytes are an array of hex pairs, over which
-aggregate() folds the ranked merges: each step merges the leftmost pair of least rank. Ranks lie in a
-literal map, cut into small maps addressed by xxhash64, so a lookup reads one of them. Distinct frequent words of a bounded sample are folded once and looked up from a second
+A text's pieces come from one regular expression. A piece's bytes are an array of ids, over which
+aggregate() folds the ranked merges: each step merges the leftmost pair of least rank. Ranks of pairs lie in a
+literal map. Distinct frequent words of a bounded sample are folded once and looked up from a second
 literal; every other word is folded where it stands, so the ids do not depend on the sample.
 """
 
@@ -13,6 +13,7 @@ import json
 import struct
 from collections.abc import Callable
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 #: Splits a text before the merges; fixed by the vocabulary. White space is spelled out, since Java's \s is ASCII.
 SPACE = r"\t-\r \x{85}\p{Z}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-NO_RANK = 2**31 - 1
 #: Documents whose words are counted for the cache, and the most words it holds (some MB in a plan).
-SAMPLE_DOCS, CACHED_WORDS = 10_000, 65_536
+SAMPLE_DOCS, CACHED_WORDS = 10_000, 131_072
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,47 +59,100 @@ def literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps({"a": values})), f"a array<{kind}>")["a"]
 
 
-def fold(piece_hex: Column, rank: Callable[[Column], Column]) -> Column:
-    """The ids of one piece, given its bytes in hex: at each step the leftmost of the pairs of least rank is merged.
+class Merges:
+    """The rank map of merges as literal arrays, packed by row displacement: a left id's row of right ids lies in the table
+    from its move on, in places that other rows leave free, and a check tells whose an entry is. An id is its rank.
 
-    The bytes stand between two marks that pair with nothing, so each pair has a left and a right neighbour.
+    A piece that is a token needs no test of its own, since a token's bytes merge back to it.
     """
 
-    def ranked(pair: Column) -> Column:
-        return F.coalesce(rank(pair), F.lit(NO_RANK))
+    def __init__(self, ranks: dict[bytes, int]):
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for token, i in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    rows.setdefault(a, []).append((b, i))
+        size = max(ranks.values()) + 1
+        room = 8 * (size + sum(map(len, rows.values()))) + 16_384
+        taken = np.zeros(room, bool)
+        self.move, check, made, least = [0] * size, np.full(room, -1), np.zeros(room, np.int64), 0
+        for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            right = np.array([b for b, _ in row])
+            while taken[least]:
+                least += 1
+            at = -1
+            first = max(0, least - int(right.min())) if len(row) < 4 else a * 7919 % (2 * size)  # long rows are spread
+            while at < 0:
+                tried = np.arange(first, first + 8192)
+                for b in right:  # moves that find every place free; few outlast the first places
+                    tried = tried[~taken[tried + b]]
+                    if not len(tried):
+                        break
+                at, first = int(tried[0]) if len(tried) else -1, first + 8192
+            self.move[a] = at
+            taken[at + right] = True
+            check[at + right] = a
+            made[at + right] = [i for _, i in row]
+        end = int(np.flatnonzero(taken).max()) + 1 if taken.any() else 1
+        self.check, self.made = check[:end].tolist(), made[:end].tolist()
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+
+    def rank(self, a: int, b: int) -> int | None:
+        at = self.move[a] + b
+        return self.made[at] if at < len(self.check) and self.check[at] == a else None
 
-    def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
+    def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """body, given the function that folds a piece; the literals stand in the plan once."""
+        tables = F.struct(*(literal(getattr(self, k), "int").alias(k) for k in ("move", "check", "made", "bytes")))
+        return let(tables, lambda t: body(lambda piece: fold(piece, t)))
+
+
+#: In a fold's state, ids stand from BASE up, and a pair without a rank counts as UNRANKED, which is more than every rank.
+BASE, UNRANKED = 1 << 20, 1 << 19
 
-        def at(k: Column) -> Column:
-            two = F.concat(F.get(p, k - 1), F.get(p, k))
-            return F.struct(
-                F.concat(F.slice(p, 1, k - 1), F.array(two), F.slice(p, k + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, k - 2), F.array(ranked(F.concat(F.get(p, k - 2), two)), ranked(F.concat(two, F.get(p, k + 1)))), F.slice(r, k + 2, F.size(r))).alias("r"),
-            )
 
-        return let(F.array_min(r), lambda least: F.when(least == NO_RANK, acc).otherwise(let(F.array_position(r, least).cast("int"), at)))
+def fold(piece: Column, tables: Column) -> Column:
+    """The ids of one piece: at each step the leftmost of the pairs of least rank is merged.
+
+    The state is one array: ids, and between each two the rank of their pair. The bytes' ids stand between two
+    marks that pair with nothing, so each pair has a left and a right neighbour.
+    """
+
+    def rank(a: Column, b: Column) -> Column:
+        """The marks, -1, have no move and are no entry's left."""
+        return let(F.get(tables["move"], a) + b, lambda at: F.when(F.get(tables["check"], at) == a, F.get(tables["made"], at)).otherwise(UNRANKED))
 
-    def start(p: Column) -> Column:
-        pairs = F.sequence(F.lit(1), F.size(p) - 1)
-        first = F.struct(p.alias("p"), F.transform(pairs, lambda i: ranked(F.concat(F.get(p, i - 1), F.get(p, i)))).alias("r"))
-        return F.aggregate(pairs, first, step, lambda acc: F.transform(F.slice(acc["p"], 2, F.size(acc["p"]) - 2), rank))
+    def step(s: Column, _: Column) -> Column:
+        def merged(k: Column, least: Column) -> Column:
+            """k: the place of the pair's rank, from 1."""
+            new = F.array(rank(F.get(s, k - 4) - BASE, least), least + BASE, rank(least, F.get(s, k + 2) - BASE))
+            return F.flatten(F.array(F.slice(s, 1, k - 3), new, F.slice(s, k + 3, F.size(s))))
 
-    marked = F.concat(F.lit("--"), piece_hex, F.lit("--"))
-    return F.coalesce(let(rank(piece_hex), lambda i: F.when(i.isNotNull(), F.array(i))), let(F.regexp_extract_all(marked, F.lit(".."), F.lit(0)), start))
+        return let(F.array_min(s), lambda least: F.when(least == UNRANKED, s).otherwise(let(F.array_position(s, least).cast("int"), lambda k: merged(k, least))))
+
+    def start(ids: Column) -> Column:
+        n = F.size(ids)
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.array(F.get(ids, i) + BASE, rank(F.get(ids, i), F.get(ids, i + 1)))))
+        return F.aggregate(F.sequence(F.lit(2), n - 2), F.flatten(F.array(pairs, F.array(F.lit(BASE - 1)))), step, lambda s: F.transform(F.filter(s, lambda x: x >= BASE), lambda x: x - BASE))
+
+    letters = F.split(F.decode(F.encode(piece, "utf-8"), "ISO-8859-1"), "")
+    mark = F.array(F.lit(-1))
+    ids = F.flatten(F.array(mark, F.transform(letters, lambda c: F.get(tables["bytes"], F.ascii(c))), mark))
+    return let(ids, start)
 
 
 def split_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
-def frequent_words(docs: DataFrame, text_col: str, ranks: LiteralMap, sample_docs: int, most: int) -> dict[str, list[int]]:
+def frequent_words(docs: DataFrame, text_col: str, merges: Merges, sample_docs: int, most: int) -> dict[str, list[int]]:
     """Ids of the words that occur most in a bounded sample of texts, chosen by hash; folded as all words are."""
     every = max(1, docs.count() // max(1, sample_docs))
     sample = docs.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
     words = sample.select(F.explode(split_words(F.col("t"))).alias("w")).groupBy("w").count().filter("count > 1")
     words = words.orderBy(F.desc("count"), "w").limit(most).select("w")
-    found = words.repartition(8).select("w", ranks.bound(lambda rank: fold(F.hex(F.encode("w", "utf-8")), rank)).alias("ids")).collect()
+    found = words.repartition(8).select("w", merges.bound(lambda folded: folded(F.col("w"))).alias("ids")).collect()
     return {r["w"]: r["ids"] for r in found}
 
 
@@ -110,14 +163,9 @@ def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", ids
     pass as they are; a column named ids_col is replaced. Time is linear in a text's length, but
     quadratic in that of one unbroken piece, as in the plain merge loop.
     """
-    ranks = read_ranks(vocabulary_path)
-    by_hex = LiteralMap({k.hex().upper(): v for k, v in ranks.items()}, "int")
-    cache = LiteralMap(frequent_words(docs, text_col, by_hex, sample_docs, cached_words), "array<int>")
-
-    def of(word: Column, known, rank) -> Column:
-        return F.coalesce(known(word), fold(F.hex(F.encode(word, "utf-8")), rank))
-
-    ids = by_hex.bound(lambda rank: cache.bound(lambda known: F.flatten(F.transform(split_words(F.col(text_col)), lambda w: of(w, known, rank)))))
+    merges = Merges(read_ranks(vocabulary_path))
+    cache = LiteralMap(frequent_words(docs, text_col, merges, sample_docs, cached_words), "array<int>")
+    ids = merges.bound(lambda folded: cache.bound(lambda known: F.flatten(F.transform(split_words(F.col(text_col)), lambda w: F.coalesce(known(w), folded(w))))))
     return docs.withColumn(ids_col, ids)
 
 
