@@ -18,7 +18,7 @@ from notegraph.llm.common import sized, small_batches, stored
 
 VARIABLE = "<*>"
 #: Leading tokens that the tree descends by, the least tokens of a line that can be dropped, and the texts in which a template recurs.
-DEPTH, MIN_TOKENS, MIN_DOCS, SIMILAR = 3, 5, 3, 0.8
+DEPTH, MIN_TOKENS, MIN_DOCS, SIMILAR = 3, 5, 2, 0.8
 # ASCII white space within a line, at which it is cut into tokens, and a token with a digit.
 SPACE, DIGITS = r"[ \t\r\x0B\f]+", r"[^ \t\r\x0B\f]*[0-9][^ \t\r\x0B\f]*"
 
@@ -29,12 +29,12 @@ def tokens_of(line: Column) -> Column:
     return F.array_remove(F.split(shown, SPACE), "")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """(doc_id, key, copy, at, tokens, line) of the lines that are long enough; copy is the text's hash, key that of id and text, line that of the tokens."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int) -> DataFrame:
+    """(doc_id, key, copy, at, tokens, line, leaf) of the lines that are long enough; copy is the text's hash, key that of id and text, line that of the tokens, leaf that of their number and the leading ones."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "copy").alias("key"), "copy", "at", tokens_of(F.col("line")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
-    return rows.withColumn("line", F.xxhash64("tokens"))
+    return rows.select("*", F.xxhash64("tokens").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"))
 
 
 class Leaf:
@@ -91,15 +91,14 @@ def _templates(lines: DataFrame, similar: float, depth: int) -> DataFrame:
     return dealt.select("leaf", "line", "tokens").mapInArrow(run, "line long, leaf long, number int")
 
 
-def recurring(rows: DataFrame, *, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
-    """(line, first) of the distinct lines of lines_of() whose templates recur in min_docs different texts or more: first is the least id with the template.
+def recurring(rows: DataFrame, placed: DataFrame, *, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
+    """(line, first) of the distinct lines of lines_of() whose templates recur in min_docs different texts or more: first is the least id with the template. placed holds the same lines without their tokens.
 
     Exact copies of a text count as one, so that copies alone don't make a text's lines recur. A leaf
     whose lines are in fewer texts holds nothing that recurs and goes no further.
     """
     small_batches(rows.sparkSession, 2048)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    met = stored(rows.groupBy("line", leaf.alias("leaf"), "copy").agg(F.min("doc_id").alias("id")), "lines")
+    met = stored(placed.groupBy("line", "leaf", "copy").agg(F.min("doc_id").alias("id")), "lines")
     by_line = met.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     leaves = by_line.groupBy("leaf").agg(F.sum("docs").alias("texts")).filter(F.col("texts") >= min_docs)
     distinct = stored(by_line.join(leaves.select("leaf"), "leaf"), "leaves")
@@ -118,9 +117,10 @@ def drop_recurring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lose lines whose templates have a first document, and keep the others. Rows, other columns and
     nulls in them stay; a column dropped_col is replaced. No rows: none.
     """
-    rows = lines_of(docs, id_col, text_col, min_tokens)
-    gone = stored(recurring(rows, min_docs=min_docs, depth=depth, similar=similar), "recurring")
-    hits = rows.select("key", "doc_id", "at", "line").join(sized(gone), "line").filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("doc_id")))
+    rows = lines_of(docs, id_col, text_col, min_tokens, depth)
+    placed = stored(rows.drop("tokens"), "placed")  # so that texts are cut into tokens twice, not three times
+    gone = stored(recurring(rows, placed, min_docs=min_docs, depth=depth, similar=similar), "recurring")
+    hits = placed.select("key", "doc_id", "at", "line").join(sized(gone), "line").filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("doc_id")))
     marks = hits.groupBy(F.col("key").alias("k")).agg(F.collect_set("at").alias("ats"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text)).alias("key"))

@@ -420,6 +420,15 @@ def test_lines(spark, odd, none):
     assert lines.drop_recurring(none).count() == 0
 
 
+def test_lines_of_two_texts_recur(spark):
+    passage = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60))
+    rows = [(1, f"a beginning of the first one\n{passage}"), (2, f"{passage}\nand some other end of it"), (3, "five words of its own"), (4, "five words of its own")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("and some other end of it", 1), 3: (rows[2][1], 0), 4: (rows[3][1], 0)}
+    kept = lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3)
+    assert kept.agg(F.sum("n_dropped")).first()[0] == 0
+
+
 def test_leaf_finds_the_most_similar():
     rng = np.random.default_rng(2)
     leaf, founders = lines.Leaf(0.8, 3), []
