@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.scalars import joined, terms
 from notegraph.operators.vector import ranked
+from notegraph.storage import stored
 
 # The weights of a note's fields.
 WEIGHTS = {"content": 1.0, "context": 0.4, "keywords": 0.2, "tags": 0.1}
@@ -32,6 +33,24 @@ def top_k(notes: DataFrame, query_terms: list[str], k: int) -> DataFrame:
     return ranked(found.orderBy(F.desc("score"), "note_id").limit(k), F.desc("score"), "note_id")
 
 
+def top_k_many(notes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, note_id, score, rank): top_k() of every query (query_id, text), whose terms are those of its text; none for a text without any.
+
+    A note that holds all terms holds the rarest, so only the postings of each query's rarest term are followed up.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    each = [notes.select("note_id", F.explode(words).alias("term"), F.lit(WEIGHTS[c]).alias("weight")) for c, words in _fields(notes).items()]
+    posts = reduce(DataFrame.unionByName, each).join(asked.select("term").distinct(), "term", "left_semi")
+    posts = stored(posts.groupBy("note_id", "term").agg(F.sum("weight").alias("weight")), "posts")
+    counted = asked.join(posts.groupBy("term").agg(F.count("*").alias("n")), "term", "left")
+    rarest = counted.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))["term"].alias("term"), F.count("*").alias("terms"))
+    near = posts.join(rarest, "term").select("query_id", "note_id", "terms")
+    held = near.join(asked, "query_id").join(posts, ["note_id", "term"])
+    found = held.groupBy("query_id", "note_id", "terms").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("score")).filter(F.col("n") == F.col("terms"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "note_id")).cast("int")
+    return found.select("query_id", "note_id", "score", place.alias("rank")).filter(F.col("rank") <= k)
+
+
 def postings(notes: DataFrame) -> DataFrame:
     """(term, note_id, field, position): the inverted index, to be stored sorted by term so that scans skip by statistics."""
     fields = _fields(notes)

@@ -65,6 +65,12 @@ def reflection_body(notes: DataFrame) -> DataFrame:
     return notes.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("body"), F.count("*").alias("n"))
 
 
+def contained(queries: DataFrame, notes: DataFrame) -> DataFrame:
+    """(query_id, gold_id) of each query (query_id, text) whose text, if it has any, stands in a note's content."""
+    asked = queries.filter(F.length("text") > 0)
+    return asked.join(notes, F.col("content").contains(F.col("text"))).select("query_id", F.col("note_id").alias("gold_id"))
+
+
 def gold_ranks(gold: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, gold_id, rank): the first position of the gold note among a query's hits (query_id, note_id, position), else -1."""
     met = gold.join(hits, (gold["query_id"] == hits["query_id"]) & (gold["gold_id"] == hits["note_id"]), "left")

@@ -471,9 +471,27 @@ def _gold(spark, sf):
 @query(f"""WITH {_GOLD}, r AS (SELECT g.query_id, coalesce(min(position), -1) AS rank FROM g LEFT JOIN h ON g.query_id = h.query_id AND gold_id = note_id GROUP BY 1)
  SELECT count(*) AS queries, {', '.join(f"round(avg(CASE WHEN rank BETWEEN 1 AND {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_{k}" for k in (1, 3, 5, 10))}, round(avg(CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, count(CASE WHEN rank < 1 THEN 1 END) AS not_found FROM r""")
 def recall_mrr(spark, sf):
+    """The metrics' arithmetic, over made-up ranks: nothing is searched. recall_benchmark evaluates the engine."""
     return memory.metrics(_gold(spark, sf))
 
 
+@query(f"""WITH n AS (SELECT doc_id, text, lang, [lang, source] AS tags FROM documents),
+ q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS terms FROM benchmark),
+ w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term, 1.0::DOUBLE AS w FROM n UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(lang), '[^\\p{{L}}\\p{{N}}]+')), 0.4::DOUBLE FROM n
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(lang), '[^\\p{{L}}\\p{{N}}]+')), 0.2::DOUBLE FROM n UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(array_to_string(tags, ' ')), '[^\\p{{L}}\\p{{N}}]+')), 0.1::DOUBLE FROM n),
+ p AS (SELECT doc_id, term, sum(w) AS w FROM w GROUP BY ALL), t AS (SELECT item_id, len(terms) AS terms, unnest(terms) AS term FROM q),
+ s AS (SELECT item_id, doc_id, round(sum(w), 6) AS score FROM t JOIN p USING (term) GROUP BY item_id, doc_id, terms HAVING count(*) = terms),
+ h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS position FROM s),
+ r AS (SELECT coalesce(position, -1) AS rank FROM (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text)) LEFT JOIN (SELECT * FROM h WHERE position <= 10) USING (item_id, doc_id))
+ SELECT count(*) AS queries, {', '.join(f"round(coalesce(avg(CASE WHEN rank BETWEEN 1 AND {k} THEN 1.0::DOUBLE ELSE 0 END), 0), 6) AS recall_{k}" for k in (1, 3, 5, 10))}, round(coalesce(avg(CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END), 0), 6) AS mrr, count(CASE WHEN rank < 1 THEN 1 END) AS not_found FROM r""")
+def recall_benchmark(spark, sf):
+    """The engine's recall: gold are the pairs of a benchmark text and a document that holds it, hits the lexical stream's first ten of every benchmark text over all documents."""
+    notes = a.raw_notes(spark, sf)
+    asked = a.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = lexical.top_k_many(notes, asked, 10).withColumnRenamed("rank", "position")
+    return memory.metrics(memory.gold_ranks(memory.contained(asked, notes), hits))
+
+
 @query(f"WITH {V_NOTES}, {V_EDGES} SELECT (SELECT count(*) FROM conversations) AS episodes, (SELECT count(*) FROM active) AS active_notes, (SELECT count(*) FROM notes WHERE superseded_at IS NOT NULL) AS superseded_notes, (SELECT count(*) FROM entities) AS entities")
 def project_summary(spark, sf):
     n = a.notes(spark, sf).agg(F.count_if(F.col("superseded_at").isNull()).alias("active_notes"), F.count("superseded_at").alias("superseded_notes"))
