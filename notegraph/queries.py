@@ -552,19 +552,37 @@ def scope_missing(spark, sf):
 
 @query("""SELECT c_custkey AS token_id, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 4 = 1 THEN 401 ELSE 200 END AS status, sha256('tok-' || c_custkey) AS hash FROM customer WHERE c_custkey < 40""")
 def key_resolution(spark, sf):
-    c = a.read(spark, sf, "customer").filter("c_custkey < 40")
+    """Of the first customers, as its SQL has it; key_resolution_all is the whole job."""
+    return _resolved(a.read(spark, sf, "customer").filter("c_custkey < 40"))
+
+
+def _resolved(c):
     tokens = c.select(F.col("c_custkey").alias("token_id"), F.concat(F.lit("tok-"), "c_custkey").alias("token"))
     keys = tokens.filter("token_id % 4 <> 0").select(f.key_hash(F.col("token")).alias("key_hash"), F.when(F.col("token_id") % 4 == 1, F.to_timestamp(F.lit(NOW))).alias("revoked_at"))
     return resolve_keys(tokens, keys).select("token_id", "status", "hash")
 
 
+@query("""SELECT c_custkey AS token_id, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 4 = 1 THEN 401 ELSE 200 END AS status, sha256('tok-' || c_custkey) AS hash FROM customer""")
+def key_resolution_all(spark, sf):
+    return _resolved(a.read(spark, sf, "customer"))
+
+
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 401 WHEN c_custkey % 3 = 1 THEN 403 ELSE 200 END AS status FROM customer WHERE c_custkey < 30")
 def admin_check(spark, sf):
-    c = a.read(spark, sf, "customer").filter("c_custkey < 30")
+    """Of the first customers, as its SQL has it; admin_check_all is the whole job."""
+    return _gated(a.read(spark, sf, "customer").filter("c_custkey < 30"))
+
+
+def _gated(c):
     k = F.col("c_custkey") % 3
     return c.select(F.col("c_custkey").alias("id"), admin_gate(k != 0, k == 2).alias("status"))
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 401 WHEN c_custkey % 3 = 1 THEN 403 ELSE 200 END AS status FROM customer")
+def admin_check_all(spark, sf):
+    return _gated(a.read(spark, sf, "customer"))
+
+
 # --- functions and connectors ------------------------------------------------------------------
 
 _SLUG = "CASE WHEN s = '' THEN 'note' ELSE s END"
