@@ -122,16 +122,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def digests(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2) of rows (doc_id, text): equal sets have equal h1 and h2."""
+    """(doc_id, copy, n_shingles, h1, h2) of rows (doc_id, text): equal sets have equal h1 and h2; copy is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            found = [(len(s), *_class_key(s)) for s in map(shingle, batch.column(1).to_pylist())]
+            found = [(len(s), *_class_key(s)) for s in map(shingle, batch.column(2).to_pylist())]
             cols = list(zip(*found, strict=True)) if found else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "copy", "n_shingles", "h1", "h2"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return rows.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, "doc_id long, copy long, n_shingles long, h1 long, h2 long")
 
 
 def _signature_rows(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -278,14 +278,18 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_c
     """One row a document: doc_id, n_shingles, component_id (least doc_id reachable by links, its own included) and n_links (documents it links with).
 
     Two documents link when den * common shingles >= num * all shingles of both. Fewer words than width:
-    the sequence is one shingle. Null, empty or blank text: no shingles, no links. Rows of one id are one vertex with several
-    texts. A row without an id has the component of a row with its set, if any, else null. No rows: none.
+    the sequence is one shingle. Null, empty or blank text: no shingles, no links. Vertices are texts: rows of one id with
+    different texts are several, and nothing is reachable through a shared id. A row without an id has the component of a row with its set, if any, else null. No rows: none.
 
     Equal sets are one class from the start. What moves are digests, signatures and, once, the
     texts of candidate classes; components of candidates of more than BLOCK classes are verified by pairs of blocks.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    return _joined(docs, width, num, den, id_col, text_col).drop("copy")
+
+
+def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """join()'s rows with copy, the hash of the row's text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     digest = stored(digests(rows, width), "digests")
     classes = digest.filter("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -311,11 +315,11 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_c
     many = classes.filter("copies > 1").join(linked, same(), "full").select(
         F.coalesce("n_shingles", "n").alias("n"), F.coalesce("h1", "k1").alias("k1"), F.coalesce("h2", "k2").alias("k2"), F.coalesce("first", "rep").alias("component"), (F.coalesce("degree", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links")
     )
-    return digest.join(many, same(), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return digest.join(many, same(), "left").select("doc_id", "copy", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are not the first (by id) of their component; rows of one id stay together, and rows without an id stay."""
-    found = join(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col)
-    gone = stored(found.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(sized(gone), F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    """docs without the documents that are not the first (by id) of their component. Of an id's rows only those whose text is such a copy go; rows without an id stay."""
+    found = _joined(docs, width, num, den, id_col, text_col)
+    gone = stored(found.filter("component_id < doc_id").select(F.col("doc_id").alias("gone"), "copy").distinct().withColumnRenamed("copy", "gone_copy"), "gone")
+    return docs.join(sized(gone), (F.col(id_col).cast("long") == F.col("gone")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("gone_copy")), "left_anti")

@@ -396,6 +396,14 @@ def test_jaccard_edges(odd, none):
     assert jaccard.join(none).count() == 0
 
 
+def test_texts_of_one_id(spark):
+    """A shared id joins no texts: (5, A) is a copy of 1 and goes, (5, B) is the first of B and stays."""
+    a, b, c = ("".join(f"{w}{i} " for i in range(20)) for w in "abc")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (7, c)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.drop_near_copies(docs).collect())) == [(1, a), (5, b), (7, c)]
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.join(docs).collect()) == [(1, 1), (5, 1), (5, 5), (7, 5), (7, 7)]
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100), (None, 3)]
     got = dict(graph.components(spark.createDataFrame(path, "a long, b long")).collect())
