@@ -84,6 +84,19 @@ def test_packing(spark, sf, odd, none):
     assert padding < 0.02 * total
 
 
+def test_packing_maps_added_tokens_as_the_library():
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(GPT), packing.byte_level_encoder(GPT)
+    for text in ("a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> it's\n\n<|endoftext|", "<|startoftext|> x", "plain"):
+        assert encoder.encode(text, allowed_special="all") == t.encode(text, add_special_tokens=False).ids
+
+
+def test_pack_holds_the_added_token(spark):
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    assert [r["doc_tokens"] for r in packing.pack(docs, GPT).collect()] == [4]
+
+
 def test_packing_groups_are_balanced():
     p = packing.Packer(group=4)
     rng = np.random.default_rng(0)
