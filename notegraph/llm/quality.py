@@ -21,9 +21,10 @@ from notegraph.llm.common import small_batches
 PASSAGE = 512  # bytes
 PAIRS, TRIPLES = 256, 512
 FEATURES = PAIRS + TRIPLES
-#: Bounds of the training sample: documents of each label, and passages of a document (evenly spaced); scoring reads all passages.
-SAMPLE_EACH, SAMPLE_PASSAGES = 2000, 32
-CHUNK = 1 << 20
+#: The bound of the training sample: documents of each label. All their passages are read, in training as in scoring.
+SAMPLE_EACH = 2000
+#: Bytes of a text, and passages of a training batch, that are encoded at a time.
+CHUNK, PASSAGES = 1 << 20, 1 << 13
 
 
 def _classes() -> np.ndarray:
@@ -88,10 +89,27 @@ class Model:
         return float(_sigmoid(total / weight @ self.p["c"] + self.p["d"][0]))
 
 
+def _chunks(bags: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+    """The passages of all bags, in order, at most PASSAGES at a time, with their places."""
+    at, held, n = 0, [], 0
+    for bag in bags:
+        while len(bag):
+            part, bag = bag[: PASSAGES - n], bag[PASSAGES - n :]
+            held.append(part)
+            n += len(part)
+            if n == PASSAGES:
+                yield slice(at, at + n), np.concatenate(held)
+                at, held, n = at + n, [], 0
+    if n:
+        yield slice(at, at + n), np.concatenate(held)
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, hidden: int = 32, gates: int = 16, epochs: int = 40, rate: float = 3e-3, seed: int = 7) -> Model:
     """Trains by Adam on bags of scaled passage features. weights: of each bag, so that a balanced sample gives the corpus' prior."""
-    every = np.concatenate(bags)
-    mean, std = every.mean(axis=0), every.std(axis=0) + 0.1
+    n = sum(map(len, bags))
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n
+    std = (np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / n) + 0.1).astype(np.float32)
+    mean = mean.astype(np.float32)
     rng = np.random.default_rng(seed)
     init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     p = {"w": init(FEATURES, hidden), "b": np.zeros(hidden), "v": init(hidden, gates), "u": init(hidden, gates), "a": init(gates), "c": init(hidden) * 0.1, "d": np.zeros(1)}
@@ -100,24 +118,36 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, hidd
         order = rng.permutation(len(bags))
         for at in range(0, len(order), 128):
             part = order[at : at + 128]
-            x = (np.concatenate([bags[i] for i in part]) - mean) / std
             size = np.array([len(bags[i]) for i in part])
             start, of = np.concatenate([[0], np.cumsum(size)[:-1]]), np.repeat(np.arange(len(part)), size)
-            h = np.maximum(x @ p["w"] + p["b"], 0)
-            g1, g2 = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
-            e = (g1 * g2) @ p["a"]
+
+            def encoded():
+                """Chunks of the batch's passages: their slice, features, representations and gates."""
+                for where, x in _chunks([bags[i] for i in part]):
+                    x = (x - mean) / std
+                    h = np.maximum(x @ p["w"] + p["b"], 0)
+                    yield where, x, h, np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
+
+            chunks = list(encoded()) if size.sum() <= PASSAGES else None  # a larger batch is encoded twice, so that a chunk is held at a time
+            e = np.concatenate([(g1 * g2) @ p["a"] for _, _, _, g1, g2 in chunks or encoded()])
             e = np.exp(e - np.maximum.reduceat(e, start)[of])
             att = e / np.add.reduceat(e, start)[of]
-            z = np.add.reduceat(att[:, None] * h, start)
+            z = np.zeros((len(part), hidden))
+            for where, _, h, _, _ in chunks or encoded():
+                np.add.at(z, of[where], att[where, None] * h)
             y = labels[part]
             g = (_sigmoid(z @ p["c"] + p["d"]) - y) * weights[part] / weights[part].sum()
             dz = g[:, None] * p["c"]
-            back = (h * dz[of]).sum(axis=1)
-            de = att * (back - np.add.reduceat(att * back, start)[of])
-            dg = de[:, None] * p["a"]
-            d1, d2 = dg * g2 * (1 - g1**2), dg * g1 * g2 * (1 - g2)
-            dh = (att[:, None] * dz[of] + d1 @ p["v"].T + d2 @ p["u"].T) * (h > 0)
-            grad = {"w": x.T @ dh + 1e-4 * p["w"], "b": dh.sum(axis=0), "v": h.T @ d1, "u": h.T @ d2, "a": (g1 * g2).T @ de, "c": z.T @ g + 1e-4 * p["c"], "d": g.sum(keepdims=True)}
+            mid = (z * dz).sum(axis=1)  # of each bag, what attention gives back on average
+            grad = {"w": 1e-4 * p["w"], "b": 0, "v": 0, "u": 0, "a": 0, "c": z.T @ g + 1e-4 * p["c"], "d": g.sum(keepdims=True)}
+            for where, x, h, g1, g2 in chunks or encoded():
+                o, w = of[where], att[where]
+                de = w * ((h * dz[o]).sum(axis=1) - mid[o])
+                dg = de[:, None] * p["a"]
+                d1, d2 = dg * g2 * (1 - g1**2), dg * g1 * g2 * (1 - g2)
+                dh = (w[:, None] * dz[o] + d1 @ p["v"].T + d2 @ p["u"].T) * (h > 0)
+                for k, x_k in (("w", x.T @ dh), ("b", dh.sum(axis=0)), ("v", h.T @ d1), ("u", h.T @ d2), ("a", (g1 * g2).T @ de)):
+                    grad[k] = grad[k] + x_k
             t += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * grad[k]
@@ -130,10 +160,10 @@ def _bytes(text) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = SAMPLE_EACH, passages: int = SAMPLE_PASSAGES, **options) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = SAMPLE_EACH, **options) -> Model | None:
     """A model from the labelled documents; None where there are none.
 
-    At most `each` documents of either label are used, the first by hash of their ids, weighted by the label's count among all labels.
+    At most `each` documents of either label are used, the first by hash of their ids, weighted by the label's count among all labels; each with all its passages.
     Labels other than 0 and 1 and null ids are ignored; a document's repeated labels count as their least.
     """
     spark = docs.sparkSession
@@ -150,9 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             found = []
             for text in batch.column(2).to_pylist():
                 data = _bytes(text)
-                n = max(1, -(-len(data) // PASSAGE))
-                picked = np.unique(np.linspace(0, n - 1, min(n, passages)).astype(int))
-                found.append(np.concatenate([counts(data[i * PASSAGE : (i + 1) * PASSAGE]) for i in picked]).astype(np.uint16).tobytes())
+                found.append(b"".join(counts(data[at : at + CHUNK]).astype(np.uint16).tobytes() for at in range(0, max(1, len(data)), CHUNK)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "label", "bag"])
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))

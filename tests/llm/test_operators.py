@@ -342,6 +342,28 @@ def test_quality(spark, odd, none):
     assert abs(parts - model.score(text)) < 0.01
 
 
+def test_training_reads_every_passage(spark, monkeypatch):
+    """Of 100 passages one decides; 32 evenly spaced ones would miss it."""
+    passages = [["calm words here ".ljust(quality.PASSAGE, "x")] * 100 for _ in range(2)]
+    passages[1][50] = "#!{}" * (quality.PASSAGE // 4)
+    texts = spark.createDataFrame([(i, "".join(x)) for i, x in enumerate(passages)], "doc_id long, text string")
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda bags, y, w, **k: seen.update(zip(y, bags, strict=True)))
+    quality.train(texts, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int"))
+    assert [len(seen[y]) for y in (0, 1)] == [100, 100]
+    assert not np.allclose(seen[0][50], seen[1][50]) and np.allclose(seen[0][2], seen[1][2])
+
+
+def test_long_batches_train_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    bags = [rng.random((int(rng.integers(1, 30)), quality.FEATURES)).astype(np.float32) for _ in range(40)]
+    y, w = rng.integers(0, 2, 40).astype(float), np.ones(40)
+    whole = quality.fit(bags, y, w, epochs=3)
+    monkeypatch.setattr(quality, "PASSAGES", 7)
+    parts = quality.fit(bags, y, w, epochs=3)
+    assert all(np.allclose(whole.p[k], parts.p[k], atol=1e-4) for k in whole.p)
+
+
 # --- Jaccard join ------------------------------------------------------------------------------
 
 
