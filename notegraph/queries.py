@@ -256,6 +256,17 @@ def hybrid_search(spark, sf):
     return found.hits.select("note_id", _r("score", 9), "position", F.char_length("content").cast("long").alias("n_chars"), "tokens")
 
 
+def _whole_search(spark, sf):
+    m = Memory(a.notes(spark, sf), a.note_embeddings(spark, sf), a.entities(spark, sf), a.edges(spark, sf), a.mentions(spark, sf), a.image_embeddings(spark, sf))
+    return Search(spark, m, _Fixed(_vector_of(spark, sf)), options=SearchOptions(now=NOW)).run(SearchRequest("a the of", max_results=5, max_tokens=4000))
+
+
+@query()
+def hybrid_search_four(spark, sf):
+    """hybrid_search over the whole memory: vector, lexical, personalized PageRank and image streams."""
+    return _whole_search(spark, sf).hits.select("note_id", _r("score", 9), "position", "from_vector", "from_lexical", "from_graph", F.char_length("content").cast("long").alias("n_chars"), "tokens")
+
+
 # --- graph -------------------------------------------------------------------------------------
 
 
