@@ -137,7 +137,7 @@ def read_back(formatted: DataFrame, learn: str = "assistant") -> DataFrame:
     Turns go by turn, ties by their strings. A conversation's rows are sorted into one task and
     streamed; only hash states are held. A null conv_id is a conversation of its own. No rows: none.
     """
-    small_batches(formatted.sparkSession, 4096)
+    small_batches(formatted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, reader, rows = None, None, []

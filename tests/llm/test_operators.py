@@ -214,6 +214,31 @@ def test_topk_stops_early():
 # --- fingerprints ------------------------------------------------------------------------------
 
 
+def test_topk_reads_less_of_more_rows(spark, sf, monkeypatch):
+    """The share of list entries that a query reads falls as rows grow, since the first group's best bound all others."""
+    monkeypatch.setattr(topk, "GROUP_ROWS", 512)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    shares = []
+    for n in (500, 2000):
+        some = rows.filter(F.col("vec_id") < n)
+        read = topk.found_by_group(some, some.filter("vec_id % 50 = 0"), k=5, id_col="vec_id", vector_col="embedding", scale=256.0)
+        read = read.groupBy("query_id", "entries_read").count().agg(F.sum("entries_read")).first()[0]
+        shares.append(read / (some.count() * some.filter("vec_id % 50 = 0").count() * 64))
+    assert shares[1] < shares[0] <= 1, shares
+
+
+def test_topk_of_repeated_ids(spark, monkeypatch):
+    """Rows of one id are candidates each, and queries of one id are ranked together; small groups, so that both rounds run."""
+    rows = [(i % 7, [float(i), float(-i % 5)]) for i in range(40)] + [(None, [1.0, 2.0]), (8, None), (9, []), (10, [float("nan"), 1.0]), (11, [1.0, 2.0, 3.0])]
+    rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for size in (16_384, 8):
+        monkeypatch.setattr(topk, "GROUP_ROWS", size)
+        got = [tuple(r) for r in topk.search(rows, rows.filter("vec_id in (1, 11)"), scale=1.0).orderBy("query_id", "rank").collect()]
+        v = [(r["vec_id"], r["embedding"]) for r in rows.collect() if r["vec_id"] is not None and r["embedding"] and all(x == x for x in r["embedding"])]
+        pairs = [(-int(sum(a * b for a, b in zip(x, y, strict=True))), j) for i, x in v for j, y in v if i == 1 and j != 1 and len(x) == len(y)]
+        assert got == [(1, n + 1, j, -s) for n, (s, j) in enumerate(sorted(pairs)[:5])]
+
+
 def phrases_slowly(text):
     seen, at = set(), 0
     while at < len(text):
@@ -448,16 +473,109 @@ def test_components(spark):
 # --- lines -------------------------------------------------------------------------------------
 
 
+def lines_slowly(rows, min_docs=2, similar=0.8, depth=3):
+    """drop_recurring by comparing every line with every founder of its leaf, without bands or components."""
+    key = lambda line: struct.unpack("<q", struct.pack("<Q", lines.xxhash.xxh3_64_intdigest(line)))[0]
+    shown = {}
+    for doc, text in rows:
+        for at, raw in enumerate((text or "").encode().split(b"\n")):
+            tokens = lines.tokens_of(raw)
+            if tokens and set(tokens) != {lines.VARIABLE}:
+                shown[doc, text, at] = tuple(tokens)
+    texts = {}
+    for (_, text, _), tokens in shown.items():
+        texts.setdefault(tokens, set()).add(text)
+    template = {}
+
+    def parse(wanted):
+        founders = []
+        for t in sorted(wanted, key=lambda t: (-len(texts[t]), key(b" ".join(t)))):
+            same = [(sum(x == y for x, y in zip(f, t, strict=True)), -i) for i, f in enumerate(founders) if len(f) == len(t) and f[:depth] == t[:depth]]
+            best = max(same, default=(0, 0))
+            if not same or best[0] < similar * len(t) - 1e-9:
+                founders.append(t)
+                best = (len(t), 1 - len(founders))
+            yield t, founders[-best[1]]
+
+    parts = {}
+    for t in texts:
+        parts.setdefault((len(t), t[:depth], part_of(key(b" ".join(t)))), []).append(t)
+    for wanted in parts.values():
+        template.update(parse(wanted))
+    merged = dict(parse({f for t, f in template.items()}))
+    template = {t: merged[f] for t, f in template.items()}
+    where = {}
+    for (doc, text, _), tokens in shown.items():
+        where.setdefault(template[tokens], set()).add((text, doc))
+    out = []
+    for doc, text in rows:
+        kept, gone = [], 0
+        for at, raw in enumerate((text or "").split("\n")):
+            met = where.get(template.get(shown.get((doc, text, at))), ())
+            drop = len({t for t, _ in met}) >= min_docs and min(d for _, d in met) != doc
+            gone += drop
+            kept += [] if drop else [raw]
+        out.append((doc, text and "\n".join(kept), gone))
+    return out
+
+
+def part_of(line):
+    return PARTS_OF[line]
+
+
+PARTS_OF = {}
+
+
+def placed_parts(spark, rows):
+    """The first round's part of each distinct line, by Spark's own hash."""
+    found = {lines.xxhash.xxh3_64_intdigest(b" ".join(lines.tokens_of(x))) for _, t in rows for x in (t or "").encode().split(b"\n")}
+    found = [(struct.unpack("<q", struct.pack("<Q", h))[0],) for h in found]
+    PARTS_OF.update(map(tuple, spark.createDataFrame(found, "line long").select("line", F.pmod(F.xxhash64("line"), F.lit(lines.PARTS))).collect()))
+
+
+def dropped(df, **options):
+    return sorted(map(tuple, lines.drop_recurring(df, **options).select("doc_id", "text", "n_dropped").collect()))
+
+
+@pytest.mark.parametrize("parts", [64, 1])
+def test_lines_match_brute_force(spark, parts, monkeypatch):
+    """Variants of a few templates, so that leaves, components and both rounds hold many lines."""
+    monkeypatch.setattr(lines, "PARTS", parts)
+    rng = np.random.default_rng(11)
+    word = lambda n: f"{'abcdefghij'[rng.integers(10)]}{'klmnopqrst'[rng.integers(n)]}"
+    base = [["log", "line", "of", *(word(10) for _ in range(k))] for k in (0, 1, 2, 7, 9, 17, 30)]
+
+    def line():
+        b = list(base[rng.integers(len(base))])
+        for _ in range(int(rng.integers(0, 1 + len(b) // 3))):
+            b[int(rng.integers(len(b)))] = word(3) if rng.integers(2) else str(rng.integers(99))
+        return " ".join(b)
+
+    rows = [(i, "\n".join(line() if rng.integers(3) else " ".join(word(10) for _ in range(8)) for _ in range(int(rng.integers(1, 7))))) for i in range(120)]
+    rows += [(500, rows[3][1]), (501, None), (502, ""), (503, "12 34\n12 34"), (504, "12 35\n\n \t\n")]
+    placed_parts(spark, rows)
+    assert dropped(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(lines_slowly(rows))
+
+
+def test_op4_matches_brute_force(spark, sf):
+    rows = list(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
+    placed_parts(spark, rows)
+    got = sorted(map(tuple, queries.op4_lines(spark, sf).select("doc_id", "text", "n_dropped").collect()))
+    assert got == sorted(lines_slowly(rows)) and sum(n for *_, n in got) > 0
+
+
 def test_lines(spark, odd, none):
     fill = lambda i: " ".join(f"{w}{'abcdefghij'[i]}" for w in "own words of this document alone".split())
     boiler = "Copyright {} by the authors of this text all rights reserved"
     rows = [(i, f"{fill(i)}\n{boiler.format(2000 + i)}\nshort line\n") for i in range(4)]
     rows += [(10 + i, "the very same text with a line of its own") for i in range(5)] + [(20, "Copyright 1 by the authors of this book all rights reserved")]
-    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {d: (t, n) for d, t, n in dropped(df, min_tokens=5)}
     assert got[0] == (rows[0][1], 0)
     for i in range(1, 4):
         assert got[i] == (f"{fill(i)}\nshort line\n", 1)
     assert all(got[10 + i] == (rows[4][1], 0) for i in range(5)) and got[20] == ("", 1)
+    assert [t for d, t, _ in dropped(df) if d in (0, 1)] == [rows[0][1], f"{fill(1)}\n"]  # a short line recurs as well
     out = lines.drop_recurring(odd)
     assert out.columns == [*odd.columns, "n_dropped"] and out.drop("n_dropped").exceptAll(odd).count() == 0 and out.count() == 10
     assert lines.drop_recurring(none).count() == 0
@@ -472,11 +590,18 @@ def test_lines_of_two_texts_recur(spark):
     assert kept.agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_lines_pass_clashing_columns(spark):
+    rows = [(1, "a line that stands twice\nx", 5, "v", "w"), (2, "a line that stands twice", None, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_dropped int, `a.b` string, line string")
+    out = lines.drop_recurring(df, dropped_col=None)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[0], (2, "", None, None, "w")]
+
+
 def test_leaf_finds_the_most_similar():
     rng = np.random.default_rng(2)
     leaf, founders = lines.Leaf(0.8, 3), []
     for _ in range(300):
-        tokens = ["a", "b", "c"] + [f"t{rng.integers(3)}" for _ in range(7)]
+        tokens = [b"a", b"b", b"c"] + [b"t%d" % rng.integers(3) for _ in range(7)]
         best = max(((sum(x == y for x, y in zip(f, tokens, strict=True)), -i) for i, f in enumerate(founders)), default=(0, 0))
         want = -best[1] if founders and best[0] >= 8 else len(founders)
         if want == len(founders):
