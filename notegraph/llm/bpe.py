@@ -14,15 +14,16 @@ import struct
 from collections.abc import Callable
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegraph.llm.common import let, quoted, stored
+
 #: Splits a text before the merges; fixed by the vocabulary. White space is spelled out, since Java's \s is ASCII.
 SPACE = r"\t-\r \x{85}\p{Z}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Documents whose words are counted for the cache, and the most words it holds (some MB in a plan).
-SAMPLE_DOCS, CACHED_WORDS = 10_000, 131_072
+#: Documents whose words are counted for the cache, the most words it holds (some 100 bytes each in a task), and words of one of its maps.
+SAMPLE_DOCS, CACHED_WORDS, LOAD = 40_000, 524_288, 6
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,30 +31,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with value computed once and bound to a lambda's variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-class LiteralMap:
-    """A map from strings as one literal: an array of small maps, addressed by xxhash64 of the key."""
-
-    def __init__(self, items: dict[str, object], value_type: str, load: int = 6):
-        self.mask = (1 << max(0, (len(items) // load).bit_length())) - 1
-        self.value_type = value_type
-        self.held: list[dict[str, object]] = [{} for _ in range(self.mask + 1)]
-        for k, v in items.items():
-            self.held[xxhash.xxh64_intdigest(k.encode(), seed=42) & self.mask][k] = v
-
-    def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-        """body, given the lookup (null for other keys); the literal stands in the plan once."""
-
-        def lookup(maps: Column) -> Callable[[Column], Column]:
-            return lambda key: F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(self.mask).cast("int")), key)
-
-        return let(literal(self.held, f"map<string,{self.value_type}>"), lambda maps: body(lookup(maps)))
-
-
 def literal(values: list, kind: str) -> Column:
     """An array literal; the optimizer folds the parsing away."""
     return F.from_json(F.lit(json.dumps({"a": values})), f"a array<{kind}>")["a"]
@@ -146,14 +123,35 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
-def frequent_words(docs: DataFrame, text_col: str, merges: Merges, sample_docs: int, most: int) -> dict[str, list[int]]:
-    """Ids of the words that occur most in a bounded sample of texts, chosen by hash; folded as all words are."""
-    every = max(1, docs.count() // max(1, sample_docs))
-    sample = docs.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
+def frequent_words(docs: DataFrame, text_col: str, merges: Merges, sample_docs: int, most: int) -> DataFrame:
+    """(w, ids) of the words that occur most in a sample of about sample_docs texts; folded as all words are."""
+    count = docs.count()
+    sample = docs.select(F.col(quoted(text_col)).cast("string").alias("t")).sample(min(1.0, sample_docs / max(1, count)), seed=1)
     words = sample.select(F.explode(split_words(F.col("t"))).alias("w")).groupBy("w").count().filter("count > 1")
     words = words.orderBy(F.desc("count"), "w").limit(most).select("w")
-    found = words.repartition(8).select("w", merges.bound(lambda folded: folded(F.col("w"))).alias("ids")).collect()
-    return {r["w"]: r["ids"] for r in found}
+    return stored(words.repartition(8).select("w", merges.bound(lambda folded: folded(F.col("w"))).alias("ids")), "words")
+
+
+def constant(df: DataFrame) -> Column:
+    """The one value of df, an array, as a literal in Spark's binary row format: a few bytes more than the data, where a literal of
+    Python values takes an object for each number. A scalar subquery would be the public way, but higher-order functions take none.
+    """
+    jvm = df.sparkSession._jvm
+    row = df._jdf.queryExecution().executedPlan().executeCollect()[0]
+    value = jvm.org.apache.spark.sql.catalyst.expressions.Literal(row.getArray(0), df._jdf.schema().apply(0).dataType())
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(value))
+
+
+def lookup(words: DataFrame) -> Callable[[Callable[[Callable[[Column], Column]], Column]], Column]:
+    """Binds the map of (w, ids) to a function of a word that gives its ids, or null: a literal array of small maps, addressed by hash.
+    The maps stand in the array by their number; if one did not, its words would be folded like others.
+    """
+    n = max(1, -(-words.count() // LOAD))
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(n))
+    maps = words.groupBy(place(F.col("w")).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("held"))
+    every = words.sparkSession.range(n).join(maps, "id", "left").repartition(1).sortWithinPartitions("id")
+    held = constant(every.agg(F.collect_list(F.coalesce("held", F.expr("cast(map() as map<string,array<int>>)"))).alias("held")))
+    return lambda body: let(held, lambda m: body(lambda w: F.try_element_at(F.get(m, place(w).cast("int")), w)))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", ids_col: str = "token_ids", sample_docs: int = SAMPLE_DOCS, cached_words: int = CACHED_WORDS) -> DataFrame:
@@ -164,8 +162,8 @@ def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", ids
     quadratic in that of one unbroken piece, as in the plain merge loop.
     """
     merges = Merges(read_ranks(vocabulary_path))
-    cache = LiteralMap(frequent_words(docs, text_col, merges, sample_docs, cached_words), "array<int>")
-    ids = merges.bound(lambda folded: cache.bound(lambda known: F.flatten(F.transform(split_words(F.col(text_col)), lambda w: F.coalesce(known(w), folded(w))))))
+    cached = lookup(frequent_words(docs, text_col, merges, sample_docs, cached_words))
+    ids = merges.bound(lambda folded: cached(lambda known: F.flatten(F.transform(split_words(F.col(quoted(text_col)).cast("string")), lambda w: F.coalesce(known(w), folded(w))))))
     return docs.withColumn(ids_col, ids)
 
 
