@@ -18,20 +18,21 @@ LEAST_QUALITY = 0.3
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """docs with n_chars as the text's; null where the text is."""
-    return docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    """docs with n_chars, if it has that column, as the text's; null where the text is."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score under LEAST_QUALITY; labels of the held-out fifth are not learned. Without labels all stay."""
     labels = table(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id")))
-    scored = quality.score(docs, quality.train(docs, labels))
-    return scored.filter(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    scored = quality.score(whole, quality.train(docs, labels))
+    return scored.filter(F.col("quality_score") >= LEAST_QUALITY).select("row.*")
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines of recurring templates out of all documents but the first with each. All documents stay."""
-    return _counted(lines.drop_recurring(docs)).select(*docs.columns)
+    return _counted(lines.drop_recurring(docs, dropped_col=None))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks found secrets in the texts. All documents stay."""
-    return _counted(secrets.redact(docs)).select(*docs.columns)
+    return _counted(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

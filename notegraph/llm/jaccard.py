@@ -1,10 +1,10 @@
 """Exact n-gram Jaccard join by PartEnum signatures.
 
 Sets are banded by size so that only equal or adjacent bands can be similar enough. For a pair of bands the
-threshold bounds the symmetric difference by some k. The domain of shingles is cut into first-level parts, each
-into three; every two of a first-level part's three are one signature. With ceil((k+1)/2)+1 parts, two parts at least
-differ in no more than one element, so similar sets share signatures in two different parts. A signature
-of no elements says little and is left out; sets that have several such, in different parts, share one of a pair of them instead.
+threshold bounds the symmetric difference by some k. The domain of shingles is cut into first-level parts, of which all but
+k // (k2 + 1) differ in no more than k2 elements, and each part into second-level ones; every choice of all but k2 of these is one signature, so similar sets share
+signatures in so many parts. A signature of no elements says nothing and is left out. So many parts are cut that
+few sets have as many parts with such a signature as must match; those that do are signed anew with another cut.
 
 Sharing a signature only makes candidates: their connected components are small or are cut in blocks,
 and inside them every link is verified on the whole sets.
@@ -12,15 +12,18 @@ and inside them every link is verified on the whole sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import sized, small_batches, stored
+from notegraph.llm.common import forget, quoted, sized, small_batches, stored
 from notegraph.llm.graph import components
 
 U = np.uint64
@@ -28,7 +31,10 @@ P1, P2, P3 = U(0x9E3779B185EBCA87), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 WORDS = 500_000
 #: Documents of one candidate component that a task verifies together; larger components go by pairs of blocks.
 BLOCK = 2048
-FORWARD_DOCS = 2048
+#: Documents whose signatures leave a task together; documents for which a bucket of signatures is made, and the least buckets.
+FORWARD_DOCS, BUCKET_DOCS, BUCKETS = 2048, 8192, 128
+#: Cuts of the domain that are tried for a set with too many empty signatures.
+CUTS = 6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,6 +70,21 @@ class Shingler:
         return np.unique(out)
 
 
+@cache
+def cut(k: int, n: int) -> tuple[int, int, int, int]:
+    """(parts, n2, k2, t) for sets of n elements or more that differ in at most k: t parts at least match. The fewest signatures with which few sets have t parts with an empty one."""
+    found = []
+    for k2, n2 in ((1, 3), (2, 5), (3, 7)):
+        for t in range(1, 5 + k // 16):
+            parts = k // (k2 + 1) + t
+            size = parts * math.comb(n2, k2)
+            empty = size * math.exp(-n * (n2 - k2) / (parts * n2))  # signatures that are empty, on average
+            tail = 1 - sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(t))
+            if k2 <= k and size <= 60 + 1.2 * n:
+                found.append(((tail >= 0.1) * tail, size, parts, n2, k2, t))
+    return min(found)[2:]
+
+
 class Signatures:
     """PartEnum signatures for num / den as least Jaccard similarity."""
 
@@ -83,32 +104,36 @@ class Signatures:
         return np.concatenate([self.group(s, g) for g in ((b - 1, b) if b else (b,))])
 
     def group(self, s: np.ndarray, g: int) -> np.ndarray:
-        """The signatures for pairs of bands g and g + 1."""
+        """The signatures for pairs of which one set is of band g and the other of g or g + 1."""
         while len(self.low) < g + 3:
             self.low.append(self.low[-1] * self.den // self.num + 1)
-        most = self.low[g + 2] - 1
-        k = (self.den - self.num) * 2 * most // (self.den + self.num)
+        k = (self.den - self.num) * (self.low[g + 1] + self.low[g + 2] - 2) // (self.den + self.num)
         if k == 0:
             return np.empty(0, U)  # only equal sets are similar enough, and those are one class
-        parts = (k + 2) // 2 + 1
-        seed = mix(np.array([g + 1], U) * P1)[0]
-        place = (mix(s ^ seed) % U(3 * parts)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        sums, filled = np.zeros(3 * parts, U), np.zeros(3 * parts, bool)
-        sums[place[first]] = np.add.reduceat(mix(s[order] + P3), first)
-        filled[place[first]] = True
-        sums, filled = sums.reshape(parts, 3), filled.reshape(parts, 3)
-        one, two = np.array([1, 2, 0]), np.array([2, 0, 1])
-        tag = mix(np.arange(3 * parts, dtype=U) * P1 + seed).reshape(parts, 3)
-        sig = mix(sums[:, one] * P1 + mix(sums[:, two] ^ P2) + tag)
-        some = filled[:, one] | filled[:, two]
-        out = sig[some]
-        if (empty := np.argwhere(~some)).shape[0] > 1:
-            pairs = [mix(tag[i, t : t + 1] * P1 + tag[j, v : v + 1]) for x, (i, t) in enumerate(empty) for j, v in empty[x + 1 :] if i != j]
-            out = np.concatenate([out, *pairs])
-        return out
+        parts, n2, k2, t = cut(k, self.low[g])
+        chosen = np.array(list(combinations(range(n2), n2 - k2))).T
+        out = []
+        for salt in range(CUTS):
+            seed = mix(np.array([(g + 1) * CUTS + salt], U) * P1)[0]
+            place = (mix(s ^ seed) % U(n2 * parts)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            sums, filled = np.zeros(n2 * parts, U), np.zeros(n2 * parts, bool)
+            sums[place[first]] = np.add.reduceat(mix(s[order] + P3), first)
+            filled[place[first]] = True
+            sums, filled = sums.reshape(parts, n2), filled.reshape(parts, n2)
+            sig = mix(np.arange(parts * chosen.shape[1], dtype=U) * P1 + seed).reshape(parts, -1)
+            some = np.zeros(sig.shape, bool)
+            for column in chosen:
+                sig = mix(sig * P1 + sums[:, column])
+                some |= filled[:, column]
+            out.append(sig[some])
+            if np.count_nonzero(~some.all(axis=1)) < t:
+                break  # of t parts that match, one has elements
+        else:
+            out.append(mix(np.array([g + 1], U) * P2))  # what no cut helps is a candidate of all alike
+        return np.concatenate(out)
 
 
 def _class_key(s: np.ndarray) -> tuple[int, int]:
@@ -134,11 +159,11 @@ def digests(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, "doc_id long, copy long, n_shingles long, h1 long, h2 long")
 
 
-def _signature_rows(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, h): a class h has signature sig.
+def _signature_rows(rows: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(bucket, held) for each block of documents: the signatures of a bucket and their classes, as packed() has them.
 
-    A block of documents forwards one class for each signature and links its others to that one by a signature of the two, so a
-    signature that a third of all rows share is a few rows.
+    A block forwards one class for each signature and links its others to that one by a signature of the two, so a
+    signature that a third of all rows share is a few entries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +172,21 @@ def _signature_rows(rows: DataFrame, width: int, num: int, den: int) -> DataFram
 
         def out() -> pa.RecordBatch:
             s = np.concatenate(sigs) if sigs else np.empty(0, U)
-            h = np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
-            order = np.lexsort((h, s))
-            s, h = s[order], h[order]
+            of = np.repeat(np.arange(len(keys)), [len(x) for x in sigs])
+            order = np.lexsort((of, s))
+            s, of = s[order], of[order]
             new = np.diff(s, prepend=s[:1]) != 0
             new[:1] = True
-            lead = h[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-            lead, far = np.unique(np.stack([lead[~new], h[~new]]), axis=1)
-            own = mix(lead.view(U) * P1 + mix(far.view(U) ^ P2))
-            sig = np.concatenate([s[new], own, own])
-            return pa.RecordBatch.from_arrays([pa.array(_signed(sig)), pa.array(np.concatenate([h[new], lead, far]))], ["sig", "h"])
+            lead = of[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+            lead, far = np.unique(np.stack([lead[~new], of[~new]]), axis=1)
+            h = np.array(keys, np.int64)
+            own = mix(h[lead].view(U) * P1 + mix(h[far].view(U) ^ P2))
+            s, of = np.concatenate([s[new], own, own]), np.concatenate([of[new], lead, far])
+            to = (s % U(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            at = np.flatnonzero(np.diff(to[order], prepend=-1))
+            held = [packed(s[x], of[x], h) for x in np.split(order, at[1:])] if len(at) else []
+            return pa.RecordBatch.from_arrays([pa.array(to[order][at]), pa.array(held, pa.binary())], ["bucket", "held"])
 
         for batch in batches:
             for s in map(shingle, batch.column(1).to_pylist()):
@@ -172,13 +202,50 @@ def _signature_rows(rows: DataFrame, width: int, num: int, den: int) -> DataFram
                     seen.clear()
         yield out()
 
-    return rows.mapInArrow(run, "sig long, h long")
+    return rows.mapInArrow(run, "bucket long, held binary")
+
+
+def packed(s: np.ndarray, of: np.ndarray, h: np.ndarray) -> bytes:
+    """Signatures s of the classes h[of]: how many classes there are here, the classes, the signatures, and each one's class by number."""
+    here, of = np.unique(of, return_inverse=True)
+    return b"".join((np.array([len(here), len(s)], np.int64).tobytes(), h[here].tobytes(), s.tobytes(), of.astype(np.uint16 if len(here) < 1 << 16 else np.int64).tobytes()))
+
+
+def unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of packed(), and the class of each."""
+    m, n = np.frombuffer(held, np.int64, 2)
+    kind = np.uint16 if m < 1 << 16 else np.int64
+    h = np.frombuffer(held, np.int64, m, 16)
+    return np.frombuffer(held, U, n, 16 + 8 * m), h[np.frombuffer(held, kind, n, 16 + 8 * (m + n))]
 
 
 def _edges(rows: DataFrame) -> DataFrame:
-    """Candidate edges (a, b): each class of a signature to the signature's least."""
-    order = Window.partitionBy("sig").orderBy("h")
-    return rows.select(F.first("h").over(order).alias("a"), F.col("h").alias("b")).filter("a <> b").distinct()
+    """Candidate edges (a, b) of rows (bucket, held): each class of a signature to the signature's least. A task holds a bucket at a time."""
+
+    def star(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        s, h = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, U), np.empty(0, np.int64))
+        order = np.argsort(s)
+        s = s[order]
+        same = s[1:] == s[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(s) else np.empty(0, bool)
+        s, h = s[shared], h[order][shared]
+        first = np.flatnonzero(np.diff(s, prepend=~s[:1]))
+        least = np.repeat(np.minimum.reduceat(h, first), np.diff(np.append(first, len(h)))) if len(h) else h
+        a, b = np.unique(np.stack([least, h])[:, least != h], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for bucket, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now:
+                    yield star(parts)
+                    now, parts = bucket, []
+                parts.append(unpacked(held.as_buffer().to_pybytes()))
+        yield star(parts)
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _linked(a: np.ndarray, n: int, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -290,10 +357,11 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_c
 def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """join()'s rows with copy, the hash of the row's text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     digest = stored(digests(rows, width), "digests")
+    buckets = max(BUCKETS, digest.count() // BUCKET_DOCS)
     classes = digest.filter("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    candidates = components(stored(_edges(_signature_rows(rows, width, num, den)), "candidates"))
+    candidates = components(stored(_edges(_signature_rows(rows, width, num, den, buckets)), "candidates"))
     nodes = classes.filter("rep is not null").join(candidates, F.col("h1") == F.col("node")).select("node", "rep", "copies", F.col("component").alias("c"))
     sizes = nodes.groupBy("c").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -321,5 +389,7 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
 def drop_near_copies(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that are not the first (by id) of their component. Of an id's rows only those whose text is such a copy go; rows without an id stay."""
     found = _joined(docs, width, num, den, id_col, text_col)
-    gone = stored(found.filter("component_id < doc_id").select(F.col("doc_id").alias("gone"), "copy").distinct().withColumnRenamed("copy", "gone_copy"), "gone")
-    return docs.join(sized(gone), (F.col(id_col).cast("long") == F.col("gone")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("gone_copy")), "left_anti")
+    gone = stored(found.filter("component_id < doc_id").select(F.struct("doc_id", "copy").alias("copy")).distinct(), "gone")
+    row = F.struct(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("copy"))
+    whole = docs.select(F.struct("*").alias("row"), row.alias("of"))
+    return whole.join(sized(gone), F.col("of") == F.col("copy"), "left_anti").select("row.*")

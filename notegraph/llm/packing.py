@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import small_batches
+from notegraph.llm.common import quoted, small_batches
 
 TIERS = (2048, 1024, 512, 256)
 SCHEMA = (
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, tiers: tuple[
         if rows := packer.flush(True):
             yield out(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(",")]

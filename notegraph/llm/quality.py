@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import small_batches
+from notegraph.llm.common import quoted, small_batches
 
 PASSAGE = 512  # bytes
 PAIRS, TRIPLES = 256, 512
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 found.append(b"".join(counts(data[at : at + CHUNK]).astype(np.uint16).tobytes() for at in range(0, max(1, len(data)), CHUNK)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "label", "bag"])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    read = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
     rows = read.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, bag binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     if not rows:
         return None
@@ -193,10 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit(bags, y.astype(float), np.array([share[k] for k in y]), **options)
 
 
-def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column quality_score, from 0 to 1; every passage of every text is read, and nothing else of a row.
+def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """docs with a column score_col, from 0 to 1; every passage of every text is read, and nothing else of a row.
 
-    Null texts score as empty ones. Without a model every score is 1. Rows, nulls and further columns stay; a column quality_score is replaced. No shuffle.
+    Null texts score as empty ones. Without a model every score is 1. Rows, nulls and further columns stay; a column score_col is replaced. No shuffle.
     """
     small_batches(docs.sparkSession)
 
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
         for part in texts:
             yield pd.Series([1.0 if model is None else model.score(_bytes(t)) for t in part], dtype=float)
 
-    return docs.withColumn("quality_score", scores(F.col(text_col).cast("string")))
+    return docs.withColumn(score_col, scores(F.col(quoted(text_col)).cast("string")))
 
 
 def held_out(doc_id):

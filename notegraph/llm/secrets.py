@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import stored
+from notegraph.llm.common import quoted, stored
 
 # The patterns of the base kinds, in the order in which spans are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,9 +63,9 @@ def _listed(found: Column, kind: str) -> Column:
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str) -> DataFrame:
     """Per row: doc_id, key (hash of id and text), repo, the base kinds' counts, base and extra span structs. No shuffle."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    repo = F.coalesce(F.col(repo_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), repo.alias("repo"))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    repo = F.coalesce(F.col(quoted(repo_col)).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("t"), repo.alias("repo"))
     t = F.col("t")
     kept = F.filter(spans(t, ASSIGN, 1), lambda s: F.char_length(s["value"]) >= 6)
     base = rows.select("row", "doc_id", F.xxhash64("doc_id", "t").alias("key"), "repo", kept.alias("assign"), spans(t, ACCESS).alias("access"), spans(t, HEX).alias("hex"), spans(t, OPAQUE).alias("opaque"))
@@ -131,7 +131,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     none = F.slice("base", 1, 0)
     cut = lambda spans_, mask: F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask).alias("mask")))
     masks = F.concat(cut(F.coalesce("live", none), live_mask), cut(F.filter(F.coalesce("copied", none), lambda s: s["k"] != opaque), copied_mask))
-    text = F.col(f"row.{text_col}")
+    text = F.col(f"row.{quoted(text_col)}")
 
     def add(acc: Column, s: Column) -> Column:
         fresh = s["end"] > acc["at"]
@@ -140,5 +140,5 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
 
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     masked = F.aggregate(F.array_sort(masks), first, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"))))
-    changed = marked.select(F.col("row").withField(f"`{text_col}`", F.when(F.size(masks) > 0, masked).otherwise(text)).alias("row"))
+    changed = marked.select(F.col("row").withField(quoted(text_col), F.when(F.size(masks) > 0, masked).otherwise(text)).alias("row"))
     return found.filter(~some).select("row.*").unionByName(changed.select("row.*"))

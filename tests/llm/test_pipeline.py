@@ -27,3 +27,16 @@ def test_edge_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"] and docs.count() == 4
+
+
+def test_clashing_columns(spark, sf):
+    """Columns named as the operators name theirs, or with a dot, pass every stage as they are."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "gone", "a.b", "quality_score", "n_dropped", "key", "row", "k"]
+    rows = [(i, f"words of document {w} alone that no other has", "en", "s", 1, *(f"{i}{n}" for n in names[5:])) for i, w in enumerate(["one", "two", "three words", "of four words"])]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == names, name
+        for r in docs.collect():
+            assert tuple(r)[5:] == rows[r["doc_id"]][5:], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
