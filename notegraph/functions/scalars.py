@@ -50,9 +50,9 @@ def decay(score: Column, age_days: Column, half_life: float = 30.0, least: float
 
 
 def slug(text: Column) -> Column:
-    """File-name form of a note: 40 characters at most, in lower case; letters and digits of any script stay, spaces and -_ become single dashes."""
-    kept = F.regexp_replace(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 40)), r"[^\p{L}\p{Nd}\s_-]", "")
-    made = F.regexp_replace(F.regexp_replace(kept, r"[\s_-]+", "-"), r"^-+|-+$", "")
+    """File-name form of a note: 40 characters at most, in lower case; letters and digits of any script stay, spaces (no other white space) and -_ become single dashes."""
+    kept = F.regexp_replace(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 40)), r"[^\p{L}\p{Nd} _-]", "")
+    made = F.regexp_replace(F.regexp_replace(kept, r"[ _-]+", "-"), r"^-+|-+$", "")
     return F.when(made == "", F.lit("note")).otherwise(made)
 
 

@@ -398,7 +398,7 @@ def mentions_cross(spark, sf):
 def note_supersede_dup(spark, sf):
     notes = a.notes(spark, sf)
     i = F.col("note_id")
-    judged = notes.select("note_id", F.when(i % 7 == 0, "duplicates").otherwise("related-to").alias("relation_type"), F.lit(0.9).alias("confidence")).unionByName(notes.select("note_id", F.lit("duplicates").alias("relation_type"), F.lit(0.89).alias("confidence")))
+    judged = notes.select("note_id", F.when(i % 7 == 0, "Duplicates").otherwise("related-to").alias("relation_type"), F.lit(0.9).alias("confidence")).unionByName(notes.select("note_id", F.lit("duplicates").alias("relation_type"), F.lit(0.89).alias("confidence")))
     return mutations.supersede(notes, judged, NOW).agg(F.count("*").alias("n"), F.count("superseded_at").alias("superseded"))
 
 
@@ -561,10 +561,9 @@ def scope_missing(spark, sf):
     return _catalog(spark, sf).table("notes").select("note_id")
 
 
-@query("""SELECT c_custkey AS token_id, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 4 = 1 THEN 401 ELSE 200 END AS status, sha256('tok-' || c_custkey) AS hash FROM customer WHERE c_custkey < 40""")
+@query("""SELECT c_custkey AS token_id, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 4 = 1 THEN 401 ELSE 200 END AS status, sha256('tok-' || c_custkey) AS hash FROM customer""")
 def key_resolution(spark, sf):
-    """Of the first customers, as its SQL has it; key_resolution_all is the whole job."""
-    return _resolved(a.read(spark, sf, "customer").filter("c_custkey < 40"))
+    return _resolved(a.read(spark, sf, "customer"))
 
 
 def _resolved(c):
@@ -578,10 +577,9 @@ def key_resolution_all(spark, sf):
     return _resolved(a.read(spark, sf, "customer"))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 401 WHEN c_custkey % 3 = 1 THEN 403 ELSE 200 END AS status FROM customer WHERE c_custkey < 30")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 401 WHEN c_custkey % 3 = 1 THEN 403 ELSE 200 END AS status FROM customer")
 def admin_check(spark, sf):
-    """Of the first customers, as its SQL has it; admin_check_all is the whole job."""
-    return _gated(a.read(spark, sf, "customer").filter("c_custkey < 30"))
+    return _gated(a.read(spark, sf, "customer"))
 
 
 def _gated(c):
@@ -597,7 +595,7 @@ def admin_check_all(spark, sf):
 # --- functions and connectors ------------------------------------------------------------------
 
 _SLUG = "CASE WHEN s = '' THEN 'note' ELSE s END"
-_SLUGS = r"""regexp_replace(regexp_replace(regexp_replace(lower(substring(text, 1, 40)), '[^\p{L}\p{Nd}\s_-]', '', 'g'), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g')"""
+_SLUGS = r"""regexp_replace(regexp_replace(regexp_replace(lower(substring(text, 1, 40)), '[^\p{L}\p{Nd} _-]', '', 'g'), '[ _-]+', '-', 'g'), '^-+|-+$', '', 'g')"""
 
 
 @query(rf"SELECT doc_id, {_SLUG} AS slug FROM (SELECT doc_id, {_SLUGS} AS s FROM documents)")
@@ -618,12 +616,13 @@ def frontmatter_split(spark, sf):
     return d.select("doc_id", f.frontmatter(F.col("t")).isNotNull().alias("has_header"), F.char_length(f.body(F.col("t"))).cast("long").alias("body_chars"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x' || event_id ELSE CASE WHEN event_id % 3 = 1 THEN '{"content": 5}' ELSE 'plain ' || event_id END END AS content, CASE WHEN event_id % 10 = 0 THEN 400 ELSE 200 END AS status FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x' || event_id ELSE CASE WHEN event_id % 3 = 1 THEN '{"content": 5, "meta": {"content": "y"}}' ELSE 'plain ' || event_id END END AS content, CASE WHEN event_id % 10 IN (0, 7) THEN 400 ELSE 200 END AS status,
+ CASE WHEN event_id % 3 = 0 THEN '{"content": "x' || event_id || '"}' END AS raw FROM events""")
 def webhook_parse(spark, sf):
     i = F.col("event_id")
-    body = F.when(i % 3 == 0, F.concat(F.lit('{"content": "x'), i.cast("string"), F.lit('"}'))).when(i % 3 == 1, '{"content": 5}').otherwise(F.concat(F.lit("plain "), i.cast("string")))
-    reqs = a.read(spark, sf, "events").select("event_id", F.when(i % 10 == 0, F.repeat(F.lit("n"), 65)).otherwise("hook").alias("name"), body.alias("body"))
-    return connectors.generic_webhook(reqs).select("event_id", "content", "status")
+    body = F.when(i % 3 == 0, F.concat(F.lit('{"content": "x'), i.cast("string"), F.lit('"}'))).when(i % 3 == 1, '{"content": 5, "meta": {"content": "y"}}').otherwise(F.concat(F.lit("plain "), i.cast("string")))
+    reqs = a.read(spark, sf, "events").select("event_id", F.when(i % 10 == 0, F.repeat(F.lit("n"), 65)).when(i % 10 == 7, "  ").otherwise("hook").alias("name"), body.alias("body"))
+    return connectors.generic_webhook(reqs).select("event_id", "content", "status", F.col("metadata")["webhook_raw"].alias("raw"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'challenge' WHEN event_type IN ('click', 'error') AND event_id % 5 <> 1 THEN 'ingest' ELSE 'ignore' END AS action FROM events""")

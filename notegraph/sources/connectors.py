@@ -28,12 +28,14 @@ def markdown_episodes(files: DataFrame, label: str = "md-import") -> DataFrame:
 
 
 def generic_webhook(requests: DataFrame) -> DataFrame:
-    """requests (name, body): content is a JSON object's string content, else the raw body; status 400 for a bad name or an empty body. Raw bodies stay as metadata."""
-    parsed = F.get_json_object("body", "$.content")
-    is_text = F.col("body").rlike(r'"content"\s*:\s*"') & parsed.isNotNull()
-    content = F.when(is_text, parsed).otherwise(F.col("body"))
-    bad = ~F.char_length(F.coalesce("name", F.lit(""))).between(1, 64) | (F.trim(F.coalesce("body", F.lit(""))) == "")
-    return requests.select("*", content.alias("content"), F.concat(F.lit("webhook:"), "name").alias("source"), F.when(bad, 400).otherwise(200).alias("status"), F.create_map(F.lit("raw"), F.col("body")).alias("metadata"))
+    """requests (name, body): content is the JSON object's own string content, else the raw body; status 400 for a blank or too long name or a blank body. Where content was taken, the raw body stays as metadata, which is null elsewhere."""
+    held = F.try_variant_get(F.try_parse_json("body"), "$.content", "variant")
+    is_text = F.coalesce(F.schema_of_variant(held) == "STRING", F.lit(False))
+    content = F.when(is_text, F.try_variant_get(held, "$", "string")).otherwise(F.col("body"))
+    blank = lambda c: ~F.coalesce(F.col(c), F.lit("")).rlike(r"(?U)\S")
+    bad = blank("name") | blank("body") | (F.char_length("name") > 64)
+    metadata = F.when(is_text, F.create_map(F.lit("webhook_raw"), F.col("body")))
+    return requests.select("*", content.alias("content"), F.concat(F.lit("webhook:"), "name").alias("source"), F.when(bad, 400).otherwise(200).alias("status"), metadata.alias("metadata"))
 
 
 def slack_events(requests: DataFrame) -> DataFrame:

@@ -123,3 +123,29 @@ def test_ingest(spark):
     assert sorted(r["name"] for r in out.entities.collect()) == ["A", "B"]
     assert out.mentions.count() == 2 and out.edges.count() == 1
     assert sorted(r["episode_id"] for r in out.skipped.collect()) == [2, 3]
+
+
+def test_ingest_last_to_arrive_holds(spark):
+    """Five episodes say five kinds of one entity and five titles of one edge; arrival counts, not the id."""
+    x = '{"notes": [{"content": "n"}], "entities": [{"name": "A", "kind": "k%d"}, {"name": "B"}], "relationships": [{"from": "A", "to": "B", "relation": "R", "properties": {"title": "t%d"}}]}'
+    rows = [(i, "p", f"2024-01-0{6 - i} 00:00:00", x % (i, i)) for i in range(1, 6)]
+    episodes = spark.createDataFrame(rows, "episode_id long, project_id string, at string, extraction string").withColumn("ingested_at", F.to_timestamp("at"))
+    ents = spark.createDataFrame([], "project_id string, name string, entity_id string, kind string, attributes map<string,string>, first_seen_at timestamp, last_seen_at timestamp")
+    edges = spark.createDataFrame([], "project_id string, from_id string, to_id string, relation string, edge_id string, recorded_at timestamp, valid_from timestamp, valid_to timestamp, properties map<string,string>, source_episode string, invalidated_at timestamp")
+    out = ingest(episodes, None, ents, edges, "2024-02-01 00:00:00")
+    assert {r["name"]: r["kind"] for r in out.entities.collect()} == {"A": "k1", "B": None}
+    (edge,) = out.edges.collect()
+    assert (edge["properties"], edge["source_episode"]) == ({"title": "t1"}, "5")
+
+
+def test_webhook(spark):
+    bodies = ['{"content": "x"}', ' {"meta": {"content": "y"}, "content": "x"}', '{"content": 5, "meta": {"content": "y"}}', '{"content": null}', '["content"]', "plain", '{"content": "x"', " \t", None]
+    reqs = spark.createDataFrame([(i, n, b) for i, (n, b) in enumerate([*(("hook", b) for b in bodies), (" \t", "a"), (None, "a"), ("n" * 65, "a")])], "i int, name string, body string")
+    got = {r["i"]: r for r in connectors.generic_webhook(reqs).collect()}
+    assert [got[i]["content"] for i in range(9)] == ["x", "x", *bodies[2:]]
+    assert [i for i in got if got[i]["metadata"]] == [0, 1] and got[0]["metadata"] == {"webhook_raw": bodies[0]}
+    assert [got[i]["status"] for i in range(12)] == [200] * 7 + [400] * 5
+
+
+def test_slug_drops_line_ends(spark):
+    assert value(spark, f.slug(F.lit("a\nb c\td"))) == "ab-cd"
