@@ -149,3 +149,15 @@ def test_webhook(spark):
 
 def test_slug_drops_line_ends(spark):
     assert value(spark, f.slug(F.lit("a\nb c\td"))) == "ab-cd"
+
+
+def test_supersession_stays_in_its_project(spark):
+    """A prior edge is found by parts of names among the project's entities of before, not among others' or this batch's."""
+    x = '{"notes": [{"content": "n"}], "entities": [{"name": "Ann Lee Jr"}], "supersedesPriorEdges": [{"from": "ann", "to": "acme", "relation": "R"}]}'
+    episodes = spark.createDataFrame([(1, "p", x)], "episode_id long, project_id string, extraction string")
+    named = [("q", "Ann A", "0"), ("q", "Acme", "1"), ("p", "Ann Lee", "2"), ("p", "Acme Inc", "3")]
+    ents = spark.createDataFrame([(*r, None, None, None, None) for r in named], "project_id string, name string, entity_id string, kind string, attributes map<string,string>, first_seen_at timestamp, last_seen_at timestamp")
+    rows = [(p, a, b, "R", e, None, None, None, None, None) for p, a, b, e in (("q", "0", "1", "x"), ("p", "2", "3", "y"))]
+    edges = spark.createDataFrame(rows, "project_id string, from_id string, to_id string, relation string, edge_id string, recorded_at timestamp, valid_from timestamp, valid_to timestamp, properties map<string,string>, invalidated_at timestamp")
+    out = ingest(episodes, None, ents, edges, "2024-02-01 00:00:00")
+    assert {r["edge_id"]: r["invalidated_at"] is None for r in out.edges.collect()} == {"x": True, "y": False}
