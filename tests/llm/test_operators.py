@@ -131,6 +131,19 @@ def test_bpe(spark, odd, none):
             assert r["token_ids"] == ids and bytes(r["back"]) == (r["text"] or "").encode() and bytes(r["raw"]) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_op5_matches_tiktoken(spark, sf):
+    """The query itself over a whole table."""
+    enc = tiktoken_of(MULTI)
+    texts = dict(text_of(spark.read.parquet(f"{sf}/documents.parquet")))
+    got = queries.op5_bpe(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        ids = enc.encode_ordinary(text)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_every_token_merges_back():
     ranks = bpe.read_ranks(MULTI)
     merges = bpe.Merges(ranks)
