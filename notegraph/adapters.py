@@ -22,6 +22,13 @@ def raw_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations, a minute apart, conversations an hour."""
+    minutes = (F.col("conv_id") * 60 + F.col("turn")).cast("int")
+    at = F.timestamp_add("MINUTE", minutes, F.to_timestamp(F.lit(EPOCH)))
+    return read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("episode_id"), F.col("role").alias("source"), F.col("text").alias("content"), at.alias("ingested_at"))
+
+
 def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """note_id of every note whose content an earlier note has. Texts are hashed before they move."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").alias("n"))

@@ -4,20 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notegraph.functions.scalars import kind_name, similarity
+from notegraph.models import Summariser
 from notegraph.operators.vector import knn
 
 # Defaults of the linker, the gate, reflection windows and lists.
 NEIGHBOURS, LEAST_SIMILAR, LEAST_CONFIDENT = 5, 0.30, 0.60
 LEAST_IMPORTANT, MAX_NOTES = 0.30, 30
+# What stands over a reflection's sources, and the answers without any.
+NOTE_HEADER = "Reflect on these {n} recent notes (most recent first):\n\n"
+META_HEADER = "Synthesize across these {n} reflections (most recent first):\n\n"
+NO_NOTES = "No notes found in the requested window — nothing to reflect on yet."
+NO_REFLECTIONS = "No reflections found in the requested window — generate some lower-level reflections first."
 LIMITS = {"episodes": (50, 500), "notes": (50, 500), "reflections": (20, 100), "edges": (50, 1000), "entities": (50, 200)}
 
 
-def link(embeddings: DataFrame, notes: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILAR) -> DataFrame:
-    """(source_id, target_id, similarity): each active note's k nearest active others, and only then those alike enough."""
+def link(embeddings: DataFrame, notes: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILAR, new: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, similarity): the k nearest active others of each of the new notes (note_id), and only then those alike enough. Without new, every active note is linked."""
     active = embeddings.join(notes.filter("superseded_at is null").select("note_id"), "note_id")
-    return knn(active, k).withColumn("similarity", similarity(F.col("distance"))).filter(F.col("similarity") >= least).drop("distance")
+    sources = None if new is None else active.join(new.select("note_id").distinct(), "note_id", "left_semi")
+    return knn(active, k, sources=sources).withColumn("similarity", similarity(F.col("distance"))).filter(F.col("similarity") >= least).drop("distance")
+
+
+def judge(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+    """Judgments of pairs (source_id, target_id, similarity) without a model: equal contents are duplicates of confidence 1, others related-to, as sure as they are alike."""
+    said = notes.select("note_id", F.sha2("content", 256).alias("h"))
+    side = lambda c: said.select(F.col("note_id").alias(c), F.col("h").alias(f"{c}_h"))
+    met = pairs.join(side("source_id"), "source_id").join(side("target_id"), "target_id")
+    same = F.coalesce(F.col("source_id_h") == F.col("target_id_h"), F.lit(False))
+    return met.select("source_id", "target_id", F.lit(True).alias("related"), F.when(same, "duplicates").otherwise("related-to").alias("relation_type"), F.when(same, 1.0).otherwise(F.col("similarity")).alias("confidence"))
 
 
 def judged_links(pairs: DataFrame, judgments: DataFrame, existing: DataFrame) -> DataFrame:
@@ -52,19 +69,45 @@ def is_meta(scope: str) -> bool:
     return scope.lower() == "meta" or scope.lower().startswith("meta:")
 
 
-def meta_window(reflections: DataFrame, scope: str, now: str, most: int = MAX_NOTES) -> DataFrame:
-    """Reflections of other scopes in the 90 days to now, newest first."""
-    start = F.lit(now).cast("timestamp") - F.expr("interval 90 days")
-    return reflections.filter((F.col("scope") != scope) & F.col("generated_at").between(start, F.lit(now).cast("timestamp"))).orderBy(F.desc("generated_at"), F.desc("reflection_id")).limit(most)
+def meta_window(reflections: DataFrame, scope: str, now: str, most: int = MAX_NOTES, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Reflections of other scopes from since (or 90 days before now) to until (or now), newest first."""
+    start = F.lit(since).cast("timestamp") if since else F.lit(now).cast("timestamp") - F.expr("interval 90 days")
+    return reflections.filter((F.col("scope") != scope) & F.col("generated_at").between(start, F.lit(until or now).cast("timestamp"))).orderBy(F.desc("generated_at"), F.desc("reflection_id")).limit(most)
 
 
 def reflection_body(notes: DataFrame) -> DataFrame:
     """One row (body, n): a bullet for each note of a window, newest first. No notes: an empty body."""
-    bullet = F.concat(F.lit("- ["), F.date_format("created_at", "yyyy-MM-dd"), F.lit("] ("), F.col("context"), F.lit(") "), F.col("content"))
-    rows = F.array_sort(F.collect_list(F.struct((-F.unix_micros("created_at")).alias("t"), (-F.col("note_id")).alias("i"), bullet.alias("line"))))
+    context = F.when(F.trim(F.coalesce("context", F.lit(""))) == "", "").otherwise(F.concat(F.lit("("), F.col("context"), F.lit(") ")))
+    bullet = F.concat(F.lit("- ["), F.date_format("created_at", "yyyy-MM-dd"), F.lit("] "), context, F.coalesce("content", F.lit("")))
+    rows = F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "note_id", bullet.alias("line")))))
     return notes.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("body"), F.count("*").alias("n"))
 
 
+def meta_body(reflections: DataFrame) -> DataFrame:
+    """One row (body, n): a block for each reflection of a window, newest first."""
+    block = F.concat(F.lit("--- ["), F.date_format("generated_at", "yyyy-MM-dd"), F.lit("] scope="), F.col("scope"), F.lit(" ---\n"), F.coalesce("summary", F.lit("")), F.lit("\n"))
+    rows = F.reverse(F.array_sort(F.collect_list(F.struct("generated_at", "reflection_id", block.alias("line")))))
+    return reflections.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("body"), F.count("*").alias("n"))
+
+
+def reflect(notes: DataFrame, reflections: DataFrame, scope: str, now: str, writer: Summariser, *, since: str | None = None, until: str | None = None, most: int = MAX_NOTES) -> tuple[DataFrame, str, int]:
+    """(new reflection (scope, summary, generated_at, generator_model), its summary, how many sources): written of a window's notes, or of other scopes' reflections if scope is meta. Without sources no row, and a message. The writer sees one text of at most so many sources."""
+    meta = is_meta(scope)
+    made = meta_body(meta_window(reflections, scope, now, most, since, until)) if meta else reflection_body(reflection_window(notes, now, since, until, most))
+    body, n = made.first()
+    summary = writer.summarise(scope, (META_HEADER if meta else NOTE_HEADER).format(n=n) + body) if n else NO_REFLECTIONS if meta else NO_NOTES
+    rows = [(scope, summary, writer.name)] if n else []
+    row = notes.sparkSession.createDataFrame(rows, "scope string, summary string, generator_model string")
+    return row.select("scope", "summary", F.lit(now).cast("timestamp").alias("generated_at"), "generator_model"), summary, n
+
+
+def related_entities(hits: DataFrame, mentions: DataFrame) -> DataFrame:
+    """hits (a search's few) with related, the sorted ids of the entities that the note mentions; an empty list for none."""
+    kind = mentions.schema["entity_id"].dataType
+    own = mentions.join(F.broadcast(hits.select("note_id")), "note_id", "left_semi").groupBy("note_id").agg(F.sort_array(F.collect_set("entity_id")).alias("related"))
+    return hits.join(own, "note_id", "left").withColumn("related", F.coalesce("related", F.array().cast(T.ArrayType(kind))))
+
+
 def contained(queries: DataFrame, notes: DataFrame) -> DataFrame:
     """(query_id, gold_id) of each query (query_id, text) whose text, if it has any, stands in a note's content."""
     asked = queries.filter(F.length("text") > 0)

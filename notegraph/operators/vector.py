@@ -23,16 +23,19 @@ def top_k(notes: DataFrame, embeddings: DataFrame, query: list[float], k: int) -
     return ranked(near, "distance", *ids)
 
 
-def knn(rows: DataFrame, k: int, *, block: int = 1024, id_col: str = "note_id", vector_col: str = "embedding") -> DataFrame:
-    """(source_id, target_id, distance) of each row's k nearest others by cosine, ties by id.
+def knn(rows: DataFrame, k: int, *, sources: DataFrame | None = None, block: int = 1024, id_col: str = "note_id", vector_col: str = "embedding") -> DataFrame:
+    """(source_id, target_id, distance) of the k nearest others of each of sources, or of each row, by cosine, ties by id.
 
-    Rows are cut in blocks; a task multiplies two blocks and keeps the best k of each source, and a window merges blocks' bests. No side is broadcast.
+    Both sides are cut in blocks; a task multiplies two blocks and keeps the best k of each source, and a window merges blocks' bests. No side is
+    broadcast. What moves is rows times blocks of sources and the other way round: for a batch of new sources in proportion to rows, for all rows their square.
     """
+    asked = rows if sources is None else sources
     n = max(1, -(-rows.count() // block))
-    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    left = rows.filter(F.col(vector_col).isNotNull()).select(own.alias("a"), each.alias("b"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    right = left.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("id").alias("other"), F.col("v").alias("w"))
+    m = n if sources is None else max(1, -(-sources.count() // block))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    own = lambda count: F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int")
+    left = asked.filter(F.col(vector_col).isNotNull()).select(own(m).alias("a"), each(n).alias("b"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    right = rows.filter(F.col(vector_col).isNotNull()).select(each(m).alias("x"), own(n).alias("y"), F.col(id_col).alias("other"), F.col(vector_col).alias("w"))
 
     def pair(x: pa.Table, y: pa.Table) -> pa.Table:
         names = ["source_id", "target_id", "distance"]

@@ -5,6 +5,7 @@ Outputs are bigint, double (rounded), varchar, boolean and int columns, so that
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -530,7 +531,7 @@ def backup_manifest(spark, sf):
     from notegraph.storage import shared_dir
 
     relations = {"notes": a.notes(spark, sf).select("note_id", "superseded_at"), "edges": a.edges(spark, sf).select("from_id", "to_id", "relation", "invalidated_at"), "entities": a.entities(spark, sf)}
-    return connectors.backup(relations, f"{shared_dir(spark)}/notegraph/backup")
+    return connectors.backup(relations, f"{shared_dir(spark)}/notegraph/backup-{uuid.uuid4().hex}")
 
 
 @query(f"WITH {V_NOTES} SELECT note_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM notes ORDER BY notes.created_at DESC, note_id DESC LIMIT 50")
@@ -671,8 +672,6 @@ def events_session(spark, sf):
 @query()
 def streaming_windows(spark, sf):
     """The windows of events_window, by a stream that runs to the end of what is there."""
-    import uuid
-
     from notegraph.storage import shared_dir
     from notegraph.streaming import streams
 

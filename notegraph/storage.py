@@ -6,11 +6,14 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a few narrow columns that may be broadcast.
 BROADCAST_ROWS = 1_000_000
+COMMIT = "batch long, relation string"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +37,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def sized(df: DataFrame) -> DataFrame:
     """df, to be broadcast if a count shows that it is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: int) -> bool:
+    """Appends the tables' rows to the relations under root as one batch: all are staged in the batch's own folders, and the batch counts once its commit is written, last.
+
+    One writer at a time. False, and nothing is done, for a batch that is there already; what a failed try staged is overwritten.
+    """
+    if not _commits(spark, root).filter(F.col("batch") == batch).isEmpty():
+        return False
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+    spark.createDataFrame([(batch, name) for name in tables], COMMIT).coalesce(1).write.mode("overwrite").json(f"{root}/commits/{batch}")
+    return True
+
+
+def committed(spark: SparkSession, root: str, name: str, schema: T.StructType, *, last: bool = False) -> DataFrame:
+    """A relation's rows of all committed batches, or of the last one, for a relation that each batch holds whole."""
+    done = _commits(spark, root).filter(F.col("relation") == name)
+    done = done.agg(F.max("batch").alias("batch")) if last else done.select("batch").distinct()
+    try:
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/{name}")
+    except AnalysisException as e:
+        _only_missing(e)
+        return spark.createDataFrame([], schema)
+    return rows.join(F.broadcast(done), "batch", "left_semi").drop("batch")  # done: one row a batch
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(COMMIT).option("recursiveFileLookup", "true").json(f"{root}/commits")
+    except AnalysisException as e:
+        _only_missing(e)
+        return spark.createDataFrame([], COMMIT)
+
+
+def _only_missing(e: AnalysisException) -> None:
+    if e.getCondition() != "PATH_NOT_FOUND":
+        raise e

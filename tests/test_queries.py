@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from notegraph.queries import ORACLE, QUERIES
+from notegraph.service_queries import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
