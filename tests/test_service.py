@@ -159,3 +159,24 @@ def test_judge(spark):
     assert got == {(1, 2): ("duplicates", 1.0), (1, 3): ("related-to", 0.7), (3, 1): ("related-to", 0.4), (4, 5): ("related-to", 0.9)}
     kept = memory.judged_links(pairs, judged, pairs.filter("source_id = 4"))
     assert {(r["source_id"], r["target_id"]) for r in kept.collect()} == {(1, 2), (1, 3)}
+
+
+def test_ppr_by_hand(spark):
+    """Parallel edges, a self-loop, a node out of reach, and a seed without edges."""
+    from notegraph.operators import graph
+
+    pairs = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "c"), ("x", "y")]
+    seeds = ["a", "lone"]
+    ways = pairs + [(t, f) for f, t in pairs]
+    out = {n: [t for f, t in ways if f == n] for n in {n for p in ways for n in p}}
+    p = dict.fromkeys(seeds, 0.5)
+    for _ in range(8):
+        q = {n: 0.15 * 0.5 for n in seeds}
+        for n, m in p.items():
+            for t in out.get(n) or [n]:
+                q[t] = q.get(t, 0) + 0.85 * m / len(out.get(n) or [n])
+        p = q
+    got = {r["entity_id"]: r["mass"] for r in graph.ppr(spark.createDataFrame(pairs, "from_id string, to_id string"), spark.createDataFrame([(n,) for n in seeds], "entity_id string")).collect()}
+    assert got == pytest.approx(p) and "x" not in got
+    none = spark.createDataFrame([], "from_id string, to_id string")
+    assert graph.ppr(none, spark.createDataFrame([("a",)], "entity_id string")).collect()[0]["mass"] == 1.0
