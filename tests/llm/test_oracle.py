@@ -9,7 +9,7 @@ from notegraph.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     columns = sorted(c[0] for c in found.description)
