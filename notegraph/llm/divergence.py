@@ -15,6 +15,7 @@ All arithmetic is in integers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import duckdb
 import pyarrow as pa
@@ -45,14 +46,16 @@ def _database() -> duckdb.DuckDBPyConnection:
 
 
 def _batches(con: duckdb.DuckDBPyConnection, sql: str) -> Iterator[pa.RecordBatch]:
-    yield from con.execute(sql).to_arrow_reader(10_000)
+    with con.cursor() as read:
+        yield from read.sql(sql).to_arrow_reader(10_000)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, text) to partial counts of (lang, source, term), occurrences and documents."""
     con = _database()
     con.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
     out = "SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM held GROUP BY ALL"
+    rows_held = lambda: con.execute("SELECT count(*) FROM held").fetchall()[0][0]
     for batch in batches:
         con.register("batch", pa.Table.from_batches([batch]))
         con.execute(
@@ -60,11 +63,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
               unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM (SELECT *, row_number() OVER () AS d FROM batch)) GROUP BY ALL) GROUP BY lang, source, term"""
         )
         con.unregister("batch")
-        if con.execute("SELECT count(*) FROM held").fetchone()[0] > HELD:
+        if rows_held() > held:
             con.execute(f"CREATE TABLE less AS {out}")
             con.execute("DROP TABLE held")
             con.execute("ALTER TABLE less RENAME TO held")
-            if con.execute("SELECT count(*) FROM held").fetchone()[0] > HELD // 2:
+            if rows_held() > held // 2:
                 yield from _batches(con, out)
                 con.execute("DELETE FROM held")
     yield from _batches(con, out)
@@ -81,18 +84,18 @@ def _loaded(batches: Iterator[pa.RecordBatch], columns: str) -> duckdb.DuckDBPyC
     return con
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
     """A shard's partial counts, whole by term, to counts of kept terms; lead is 1 for one row of each term."""
     con = _loaded(batches, "lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT")
     yield from _batches(
         con,
         f"""SELECT lang, source, term, n, CAST(sum(n) OVER w AS BIGINT) AS in_lang, CAST(source = min(source) OVER w AS BIGINT) AS lead
-          FROM (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, sum(docs) AS docs FROM shard GROUP BY ALL) WINDOW w AS (PARTITION BY lang, term) QUALIFY sum(docs) OVER w >= {LEAST_DOCS}""",
+          FROM (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, sum(docs) AS docs FROM shard GROUP BY ALL) WINDOW w AS (PARTITION BY lang, term) QUALIFY sum(docs) OVER w >= {least_docs}""",
     )
     con.close()
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], listed: int) -> Iterator[pa.RecordBatch]:
     """A shard's probabilities to the sums of its pairs' shared terms, and to the best terms of each source."""
     con = _loaded(batches, "lang VARCHAR, source VARCHAR, term VARCHAR, p BIGINT, none BIGINT, q BIGINT")
     shared = f"{_value('a.p', 'b.p')} - {_value('a.p', 'b.none')} - {_value('a.none', 'b.p')} + {_value('a.none', 'b.none')}"
@@ -104,7 +107,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(
         con,
         f"""SELECT lang, source, 'term' AS part, term AS item, {_value("p", "q")} AS value FROM shard WHERE p > q
-          QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {_value("p", "q")} DESC, term) <= {LISTED}""",
+          QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {_value("p", "q")} DESC, term) <= {listed}""",
     )
     con.close()
 
@@ -115,8 +118,8 @@ def _probability(count, n, v):
     return F.expr(f"cast(1 + div(cast({SCALE} as {wide}) * ({count} + 2), cast({n} + 2 * {v} as {wide})) as bigint)")
 
 
-def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, part, item, value, rank): for each source of a language, part pair lists every other source by its divergence over all kept terms, part term the terms that set it apart.
+def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, listed: int = LISTED, held: int = HELD) -> DataFrame:
+    """(lang, source, part, item, value, rank): for each source of a language, part pair lists every other source by its divergence over all kept terms, part term the first `listed` terms that set it apart. Terms in least_docs of a language's rows are kept.
 
     Null texts, languages and sources are empty strings. Rows count each, copies too. A language without kept terms has pairs of value 0 and no terms; a source
     alone in its language has no pairs. Of equal values the lesser item comes first. No rows: none.
@@ -126,7 +129,7 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     text_of = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
     rows = docs.select(text_of(lang_col).alias("lang"), text_of(source_col).alias("source"), text_of(text_col).alias("text"))
     groups = stored(rows.groupBy("lang", "source").agg(F.count("*").alias("rows")), "groups")
-    kept = stored(rows.mapInArrow(_count, COUNTS).repartition("lang", "term").mapInArrow(_keep, KEPT), "kept")
+    kept = stored(rows.mapInArrow(partial(_count, held=held), COUNTS).repartition("lang", "term").mapInArrow(partial(_keep, least_docs=least_docs), KEPT), "kept")
 
     of_lang = kept.groupBy("lang").agg(F.sum("lead").alias("v"), F.sum("n").alias("n_lang"))
     of_source = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_source"), F.count("*").alias("terms"))
@@ -135,7 +138,7 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
 
     with_p = kept.join(totals, ["lang", "source"]).select("lang", "source", "term", _probability("n", "n_source", "v").alias("p"), "none", _probability("in_lang", "n_lang", "v").alias("q"))
     with_p = stored(with_p, "probabilities")
-    shards = stored(with_p.repartition("lang", "term").mapInArrow(_compare, PARTS), "shards")
+    shards = stored(with_p.repartition("lang", "term").mapInArrow(partial(_compare, listed=listed), PARTS), "shards")
 
     # terms of each probability, so that a source meets the others of its language once for each of them
     f = lambda p, q: F.expr(f"div(({p} - {q}) * ({p} - {q}), {p} + {q})")
@@ -149,7 +152,7 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     pairs = neither.unionByName(lacked).unionByName(mirrored).unionByName(shared).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).cast("int")
-    best = shards.filter("part = 'term'").select("lang", "source", "part", "item", "value").withColumn("rank", place).filter(F.col("rank") <= LISTED)
+    best = shards.filter("part = 'term'").select("lang", "source", "part", "item", "value").withColumn("rank", place).filter(F.col("rank") <= listed)
     out = stored(pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", place).unionByName(best), "divergence")
     for used in (groups, kept, totals, with_p, shards):
         forget(used)

@@ -176,11 +176,9 @@ def diverged(data, least):
 
 
 @pytest.mark.parametrize("least", [1, 2, 10, 1000])
-def test_divergence(spark, odd, monkeypatch, least):
+def test_divergence(spark, odd, least):
     """Also where no term is kept, and with tasks that hand on what they hold at once."""
-    monkeypatch.setattr(divergence, "LEAST_DOCS", least)
-    monkeypatch.setattr(divergence, "HELD", 3 if least == 2 else 400_000)
-    got = [tuple(r) for r in divergence.audit(odd).select("lang", "source", "part", "item", "value", "rank").collect()]
+    got = [tuple(r) for r in divergence.audit(odd, least_docs=least, held=3 if least == 2 else divergence.HELD).select("lang", "source", "part", "item", "value", "rank").collect()]
     assert len(got) == len(set(got)) and set(got) == diverged(rows(), least)
 
 
