@@ -29,7 +29,9 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, SCALE, LISTED = 10, 1_000_000_000, 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Counts that a task holds before it hands them on, and memory of a task's DuckDB.
-HELD, MEMORY = 400_000, "512MB"
+HELD, MEMORY = 1_000_000, "512MB"
+#: Rows and bytes of an Arrow batch: counts are narrow rows, and for texts the bytes are the bound.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
 
 COUNTS = "lang string, source string, term string, n long, docs long"
 KEPT = "lang string, source string, term string, n long, in_lang long, lead long"
@@ -125,7 +127,8 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     alone in its language has no pairs. Of equal values the lesser item comes first. No rows: none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     text_of = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
     rows = docs.select(text_of(lang_col).alias("lang"), text_of(source_col).alias("source"), text_of(text_col).alias("text"))
     groups = stored(rows.groupBy("lang", "source").agg(F.count("*").alias("rows")), "groups")
@@ -156,4 +159,5 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     out = stored(pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", place).unionByName(best), "divergence")
     for used in (groups, kept, totals, with_p, shards):
         forget(used)
+    small_batches(spark)
     return out
