@@ -13,6 +13,8 @@ from notegraph.operators.vector import knn
 # Defaults of the linker, the gate, reflection windows and lists.
 NEIGHBOURS, LEAST_SIMILAR, LEAST_CONFIDENT = 5, 0.30, 0.60
 LEAST_IMPORTANT, MAX_NOTES = 0.30, 30
+# The relation of a note to what it repeats, and how sure that must be for it to be superseded.
+DUPLICATES, SURE = "duplicates", 0.90
 # What stands over a reflection's sources, and the answers without any.
 NOTE_HEADER = "Reflect on these {n} recent notes (most recent first):\n\n"
 META_HEADER = "Synthesize across these {n} reflections (most recent first):\n\n"
@@ -21,11 +23,11 @@ NO_REFLECTIONS = "No reflections found in the requested window — generate some
 LIMITS = {"episodes": (50, 500), "notes": (50, 500), "reflections": (20, 100), "edges": (50, 1000), "entities": (50, 200)}
 
 
-def link(embeddings: DataFrame, notes: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILAR, new: DataFrame | None = None) -> DataFrame:
-    """(source_id, target_id, similarity): the k nearest active others of each of the new notes (note_id), and only then those alike enough. Without new, every active note is linked."""
+def link(embeddings: DataFrame, notes: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILAR, new: DataFrame | None = None, within: str | None = None) -> DataFrame:
+    """(source_id, target_id, similarity): the k nearest active others of each of the new notes (note_id), and only then those alike enough. Without new, every active note is linked. within: a column of the embeddings that both must share."""
     active = embeddings.join(notes.filter("superseded_at is null").select("note_id"), "note_id")
     sources = None if new is None else active.join(new.select("note_id").distinct(), "note_id", "left_semi")
-    return knn(active, k, sources=sources).withColumn("similarity", similarity(F.col("distance"))).filter(F.col("similarity") >= least).drop("distance")
+    return knn(active, k, sources=sources, within=within).withColumn("similarity", similarity(F.col("distance"))).filter(F.col("similarity") >= least).drop("distance")
 
 
 def judge(pairs: DataFrame, notes: DataFrame) -> DataFrame:

@@ -16,33 +16,45 @@ def ranked(hits: DataFrame, *order) -> DataFrame:
 
 
 def top_k(notes: DataFrame, embeddings: DataFrame, query: list[float], k: int) -> DataFrame:
-    """(note_id, distance, rank) of the k notes nearest to query by cosine; ties by id. A note with several vectors appears several times."""
+    """(note_id, distance, rank) of the k notes nearest to query by cosine; ties, to 12 digits, by id. A note with several vectors appears several times."""
     scored = embeddings.withColumn("distance", cosine_distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query))))
     ids = [c for c in ("note_id", "image_id") if c in embeddings.columns]
-    near = scored.select(*ids, "distance").join(notes.select("note_id"), "note_id").orderBy("distance", *ids).limit(k)
-    return ranked(near, "distance", *ids)
+    near = scored.select(*ids, "distance").join(notes.select("note_id"), "note_id").orderBy(F.round("distance", 12), *ids).limit(k)
+    return ranked(near, F.round("distance", 12), *ids)
 
 
-def knn(rows: DataFrame, k: int, *, sources: DataFrame | None = None, block: int = 1024, id_col: str = "note_id", vector_col: str = "embedding") -> DataFrame:
-    """(source_id, target_id, distance) of the k nearest others of each of sources, or of each row, by cosine, ties by id.
+def knn(rows: DataFrame, k: int, *, sources: DataFrame | None = None, block: int = 1024, id_col: str = "note_id", vector_col: str = "embedding", within: str | None = None) -> DataFrame:
+    """(source_id, target_id, distance) of the k nearest others of each of sources, or of each row, by cosine, ties by id. Ids are of any type that orders; vectors are of one length. within: a column that both must share; each of its groups is cut in blocks of its own.
 
     Both sides are cut in blocks; a task multiplies two blocks and keeps the best k of each source, and a window merges blocks' bests. No side is
     broadcast. What moves is rows times blocks of sources and the other way round: for a batch of new sources in proportion to rows, for all rows their square.
     """
-    asked = rows if sources is None else sources
-    n = max(1, -(-rows.count() // block))
-    m = n if sources is None else max(1, -(-sources.count() // block))
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    own = lambda count: F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int")
-    left = asked.filter(F.col(vector_col).isNotNull()).select(own(m).alias("a"), each(n).alias("b"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    right = rows.filter(F.col(vector_col).isNotNull()).select(each(m).alias("x"), own(n).alias("y"), F.col(id_col).alias("other"), F.col(vector_col).alias("w"))
+    asked, kind = rows if sources is None else sources, rows.schema[id_col].dataType.simpleString()
+    own = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
+    group = F.lit(0) if within is None else F.col(within)
+    side = lambda df: df.filter(F.col(vector_col).isNotNull()).select(group.alias("g"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    if within is None:
+        n = max(1, -(-rows.count() // block))
+        m = n if sources is None else max(1, -(-sources.count() // block))
+        cut = lambda df: df.select("*", F.lit(n).alias("n"), F.lit(m).alias("m"))
+    else:  # each group is cut by its own size
+        blocks = lambda df, name: side(df).groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        sizes = blocks(rows, "n").join(blocks(asked, "m"), "g")
+        cut = lambda df: df.join(sizes, "g")
+    left = cut(side(asked)).select("g", own("m").alias("a"), each("n").alias("b"), "id", "v")
+    right = cut(side(rows)).select(F.col("g").alias("h"), each("m").alias("x"), own("n").alias("y"), F.col("id").alias("other"), F.col("v").alias("w"))
+
+    def vectors(column: pa.ChunkedArray) -> np.ndarray:
+        whole = column.combine_chunks()
+        return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
 
     def pair(x: pa.Table, y: pa.Table) -> pa.Table:
         names = ["source_id", "target_id", "distance"]
         if not len(x) or not len(y):
-            return pa.table({"source_id": pa.array([], pa.int64()), "target_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        ids, others = x["id"].to_numpy(), y["other"].to_numpy()
-        u, v = (np.array(c.to_pylist(), dtype=np.float64) for c in (x["v"], y["w"]))
+            return pa.table({"source_id": x["id"].slice(0, 0), "target_id": x["id"].slice(0, 0), "distance": pa.array([], pa.float64())})
+        ids, others = (c.to_numpy() for c in (x["id"], y["other"]))
+        u, v = vectors(x["v"]), vectors(y["w"])
         with np.errstate(invalid="ignore", divide="ignore"):
             u, v = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (u, v))
         order = np.argsort(others, kind="stable")
@@ -52,9 +64,10 @@ def knn(rows: DataFrame, k: int, *, sources: DataFrame | None = None, block: int
         best = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
         dist = np.take_along_axis(d, best, 1)
         keep = np.isfinite(dist)
-        return pa.table(dict(zip(names, (np.repeat(ids, best.shape[1]).reshape(best.shape)[keep], others[best][keep], dist[keep]), strict=True)))
+        of = x.schema.field("id").type
+        return pa.table(dict(zip(names, (pa.array(np.repeat(ids, best.shape[1]).reshape(best.shape)[keep], of), pa.array(others[best][keep], of), dist[keep]), strict=True)))
 
-    partial = left.groupBy("a", "b").cogroup(right.groupBy("x", "y")).applyInArrow(pair, "source_id long, target_id long, distance double")
+    partial = left.groupBy("g", "a", "b").cogroup(right.groupBy("h", "x", "y")).applyInArrow(pair, f"source_id {kind}, target_id {kind}, distance double")
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.round("distance", 12), "target_id"))
     return partial.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 

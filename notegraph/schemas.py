@@ -5,7 +5,6 @@ from pyspark.sql import types as T
 # Kinds of a note and roles of a member, by code.
 NOTE_KINDS = ("General", "Observation", "Decision", "Learning", "Error", "Pattern")
 MEMBER_ROLES = ("Owner", "Admin", "Member", "Viewer")
-SCHEMA_STATES = ("Provisioning", "Active", "Dropped")
 
 _s, _t, _i, _d, _b, _short = T.StringType(), T.TimestampType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.ShortType()
 _map, _list, _vector = T.MapType(T.StringType(), T.StringType()), T.ArrayType(T.StringType()), T.ArrayType(T.FloatType(), False)
@@ -33,6 +32,16 @@ RELATIONS = {
     "entities": _schema(id=_s, project_id=_s, name=_s, kind=_s, attributes=_map, first_seen_at=_t, last_seen_at=_t),
     "edges": _schema(id=_s, project_id=_s, from_id=_s, to_id=_s, relation=_s, recorded_at=_t, valid_from_=_t, valid_to_=_t, invalidated_at_=_t, source_episode_=_s, properties=_map),
 }
+#: Relations as ingestion writes them and search, linking and views read them.
+MEMORY = {
+    "notes": _schema(note_id=_s, episode_id=_s, project_id=_s, content=_s, context_=_s, keywords_=_list, tags_=_list, kind=_short, created_at=_t),
+    "note_embeddings": RELATIONS["note_embeddings"],
+    "note_entity_mentions": RELATIONS["note_entity_mentions"],
+    "entities": _schema(project_id=_s, name=_s, entity_id=_s, kind=_s, attributes_=_map, first_seen_at=_t, last_seen_at=_t),
+    "edges": _schema(project_id=_s, from_id=_s, to_id=_s, relation=_s, edge_id=_s, recorded_at=_t, valid_from_=_t, valid_to_=_t, invalidated_at_=_t, source_episode_=_s, properties_=_map),
+    "note_relations": _schema(source_id=_s, target_id=_s, project_id=_s, relation_type=_s, confidence=_d, created_at=_t),
+    "supersessions": _schema(note_id=_s, project_id=_s, superseded_at=_t),
+}
 #: Relations whose rows belong to a project, and those that belong to an organization.
 BY_PROJECT = tuple(k for k, v in RELATIONS.items() if "project_id" in v.names)
 BY_ORGANIZATION = tuple(k for k, v in RELATIONS.items() if "organization_id" in v.names and "project_id" not in v.names)

@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from notegraph import adapters as a
+from notegraph.catalog import Scope
 from notegraph.functions import defaults, scalars as f
-from notegraph.models import FirstLines
+from notegraph.models import FirstLines, HashEmbedder
 from notegraph.operators import accounts, graph, memory, mutations
 from notegraph.plans import views
-from notegraph.plans.ingest import extractions, ingest, save
-from notegraph.queries import NOW, ORACLE, QUERIES, V_EDGES, V_NOTES, V_REFLECTIONS, _active, _KNN, _r, _stamp, _vec, _vector, query
+from notegraph.plans.ingest import extractions, ingest, store
+from notegraph.plans.memory import link, of_project, relations
+from notegraph.plans.search import Search, SearchOptions, SearchRequest
+from notegraph.queries import NOW, ORACLE, QUERIES, V_EDGES, V_NOTES, V_REFLECTIONS, _active, _fused, _KNN, _r, _stamp, _vec, _vector, query
 from notegraph.sources import backups, requests
-from notegraph.storage import committed, shared_dir
+from notegraph.storage import shared_dir
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -155,7 +158,7 @@ def _ingested(spark, sf):
     none = lambda s: spark.createDataFrame([], s)
     entities = none("project_id string, name string, entity_id string, kind string, attributes map<string,string>, first_seen_at timestamp, last_seen_at timestamp")
     edges = none("project_id string, from_id string, to_id string, relation string, edge_id string, recorded_at timestamp, valid_from timestamp, valid_to timestamp, invalidated_at timestamp, source_episode long, properties map<string,string>")
-    return episodes, ingest(episodes, judged, entities, edges, NOW)
+    return episodes, judged, lambda: ingest(episodes, judged, entities, edges, NOW)
 
 
 @query("""WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0)
@@ -163,18 +166,19 @@ def _ingested(spark, sf):
 def ingest_commit(spark, sf):
     """Entities, with their notes, of a batch that was committed whole and then sent again."""
     root = _at(spark, "memory")
-    episodes, done = _ingested(spark, sf)
-    save(root, episodes, done, 1)
-    save(root, episodes, done, 1)
-    entities, mentions = (committed(spark, root, n, df.schema, last=True) for n, df in (("entities", done.entities), ("mentions", done.mentions)))
-    counted = mentions.groupBy("entity_id").agg(F.count("*").alias("notes"))
+    episodes, judged, _ = _ingested(spark, sf)
+    for _ in range(2):
+        store(spark, root, episodes, NOW, judgments=judged, writer="customers", epoch=1)
+    whole = relations(spark, root)
+    entities, counted = whole["entities"], whole["note_entity_mentions"]
+    counted = counted.groupBy("entity_id").agg(F.count("*").alias("notes"))
     return entities.join(counted, "entity_id").select("name", "kind", "notes", F.col("attributes")["key"].alias("key"))
 
 
 @query("""SELECT c_name AS from_name, n_name AS to_name, 'IN' AS relation, CAST(c_custkey AS VARCHAR) AS key, c_custkey AS source FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0""")
 def ingest_edges(spark, sf):
     """Edges of an ingest with their properties and source episodes."""
-    _, done = _ingested(spark, sf)
+    done = _ingested(spark, sf)[2]()
     name = lambda side: done.entities.select(F.col("entity_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
     return done.edges.join(name("from"), "from_id").join(name("to"), "to_id").select("from_name", "to_name", "relation", F.col("properties")["key"].alias("key"), F.col("source_episode").alias("source"))
 
@@ -319,3 +323,39 @@ def backup_whole(spark, sf):
         "reflections": a.reflections(spark, sf), "image_embeddings": a.image_embeddings(spark, sf).limit(0), "entities": a.entities(spark, sf), "edges": a.edges(spark, sf),
     }
     return backups.backup(relations, _at(spark, "backup"))
+
+
+# --- from texts to a search --------------------------------------------------------------------
+
+_HASHED = """word AS (SELECT note_id, project_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS w FROM note),
+ spot AS (SELECT note_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS i, sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END) AS n FROM word GROUP BY 1, 2),
+ size AS (SELECT note_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM spot GROUP BY 1 HAVING sum(n * n) > 0),
+ vec AS (SELECT note_id, i, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS x FROM spot JOIN size USING (note_id))"""
+_ASKED = "the and of"
+
+
+@query(f"""WITH {V_EPISODES}, said AS (SELECT episode_id, source, content AS text, split_part(episode_id, ':', 2)::INT >= 2 AS late, {_SAID.replace('text', 'content')} AS s FROM episodes),
+ cut AS (SELECT episode_id, source, late, text, CASE WHEN len(s) > 5 THEN list_append(s[1:4], array_to_string(s[5:], '. ')) ELSE s END AS s FROM said WHERE len(s) > 0),
+ every AS (SELECT episode_id || '/' || (i - 1) AS note_id, source AS project_id, late, s[i] AS content, len(list_distinct(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}\\p{{N}}]+( \\p{{Lu}}[\\p{{L}}\\p{{N}}]+)*'))) AS entities FROM cut, unnest(range(1, len(s) + 1)) r(i)),
+ note AS (SELECT *, row_number() OVER (PARTITION BY project_id, content ORDER BY late, note_id) = 1 AS stays FROM every), {_HASHED},
+ q AS (SELECT i, CAST(CAST(n / sqrt(sum(n * n) OVER ()) AS FLOAT) AS DOUBLE) AS x FROM (SELECT CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS i, sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END) AS n FROM (SELECT unnest(['the', 'and', 'of']) AS w) GROUP BY 1)),
+ own AS (SELECT * FROM note WHERE stays AND project_id = 'assistant'),
+ dist AS (SELECT note_id, 1 - coalesce(sum(vec.x * q.x), 0) / (sqrt(sum(vec.x * vec.x)) * (SELECT sqrt(sum(x * x)) FROM q)) AS d FROM vec LEFT JOIN q USING (i) WHERE note_id IN (SELECT note_id FROM own) GROUP BY 1),
+ v AS (SELECT note_id, CAST(row_number() OVER (ORDER BY round(d, 12), note_id) AS INT) AS rank FROM (SELECT * FROM dist ORDER BY round(d, 12), note_id LIMIT 40)),
+ hit AS (SELECT note_id, sum(CASE WHEN w = 'the' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN w = 'and' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN w = 'of' THEN 1 ELSE 0 END) AS c FROM word WHERE note_id IN (SELECT note_id FROM own) GROUP BY 1),
+ lex AS (SELECT note_id, CAST(row_number() OVER (ORDER BY a + b + c DESC, note_id) AS INT) AS rank FROM (SELECT * FROM hit WHERE a > 0 AND b > 0 AND c > 0 ORDER BY a + b + c DESC, note_id LIMIT 40)), {_fused('p', vector='v', lexical='lex')}
+ SELECT note_id, round(score, 9) AS score, position, content, CAST(entities AS BIGINT) AS entities, (SELECT count(*) FROM own) AS active FROM p JOIN own USING (note_id) WHERE position <= 10""")
+def ingest_search(spark, sf):
+    """Turns of conversations, in two batches and then the first again, extracted, embedded, committed and linked, and a search in one project over what is committed."""
+    root, said = _at(spark, "memory"), a.episodes(spark, sf)
+    told = said.select("episode_id", F.col("source").alias("project_id"), "source", "content", "ingested_at", defaults.extraction(F.col("content")).alias("extraction"))
+    late = F.split("episode_id", ":")[1].cast("int") >= 2
+    for epoch, rows in ((1, told.filter(~late)), (2, told.filter(late)), (1, told.filter(~late))):
+        batch = store(spark, root, rows, NOW, writer="turns", epoch=epoch)
+        if batch is not None:
+            link(spark, root, batch, NOW)
+    m = of_project(spark, root, Scope("o", "u", "assistant"))
+    m.edges = None  # extraction without a model tells no relationships
+    found = Search(spark, m, HashEmbedder(), options=SearchOptions(now=NOW, abstain=False)).run(SearchRequest(_ASKED, max_results=10))
+    active = m.notes.filter("superseded_at is null").agg(F.count("*").alias("active"))
+    return found.hits.select("note_id", _r("score", 9), "position", "content", F.size("related").cast("long").alias("entities")).crossJoin(F.broadcast(active))  # one row

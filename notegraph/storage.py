@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a few narrow columns that may be broadcast.
 BROADCAST_ROWS = 1_000_000
-COMMIT = "batch long, relation string"
+COMMIT = "batch long, relation string, bucket int, writer string, epoch long"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,27 +35,68 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored() tables that no later plan reads."""
+    for df in tables:
+        session = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(df: DataFrame) -> DataFrame:
     """df, to be broadcast if a count shows that it is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: int) -> bool:
+def bucket_of(keys: Iterable[str], buckets: int) -> Column:
+    """The bucket that a keyed relation's row lives in. Its number must not change once a relation is written."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def next_batch(spark: SparkSession, root: str) -> int:
+    return (_commits(spark, root).agg(F.max("batch")).first()[0] or 0) + 1
+
+
+def is_done(spark: SparkSession, root: str, batch: int | None = None, writer: str | None = None, epoch: int | None = None) -> bool:
+    """Whether a batch, or a writer's epoch, is committed."""
+    done = _commits(spark, root)
+    return not done.filter(F.col("batch") == batch if writer is None else (F.col("writer") == writer) & (F.col("epoch") == epoch)).isEmpty()
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: int, *, keyed: dict[str, DataFrame] | None = None, writer: str | None = None, epoch: int | None = None) -> bool:
     """Appends the tables' rows to the relations under root as one batch: all are staged in the batch's own folders, and the batch counts once its commit is written, last.
 
+    keyed: relations whose rows carry a column bucket; a batch writes the buckets that it touches, whole, and they stand for these buckets from
+    then on (see latest()). writer and epoch: a stream's name and its own number of the batch, which make a repeated one known under any batch number.
     One writer at a time. False, and nothing is done, for a batch that is there already; what a failed try staged is overwritten.
     """
-    if not _commits(spark, root).filter(F.col("batch") == batch).isEmpty():
+    if is_done(spark, root, batch) or (writer is not None and is_done(spark, root, writer=writer, epoch=epoch)):
         return False
+    rows = [(batch, name, None, writer, epoch) for name in [*tables, *(keyed or {})]]
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
-    spark.createDataFrame([(batch, name) for name in tables], COMMIT).coalesce(1).write.mode("overwrite").json(f"{root}/commits/{batch}")
+    for name, df in (keyed or {}).items():
+        path = f"{root}/{name}/batch={batch}"
+        df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows += [(batch, name, r["bucket"], writer, epoch) for r in spark.read.schema(df.schema).parquet(path).select("bucket").distinct().collect()]
+    spark.createDataFrame(rows, COMMIT).coalesce(1).write.mode("overwrite").json(f"{root}/commits/{batch}")
     return True
 
 
-def committed(spark: SparkSession, root: str, name: str, schema: T.StructType, *, last: bool = False) -> DataFrame:
-    """A relation's rows of all committed batches, or of the last one, for a relation that each batch holds whole."""
+def latest(spark: SparkSession, root: str, name: str, schema: T.StructType, buckets: Iterable[int] | None = None) -> DataFrame:
+    """A keyed relation: every bucket, or those asked for, as the last batch that touched it left it. Only their folders are read; a commit row for each bucket reaches the driver."""
+    done = _commits(spark, root).filter((F.col("relation") == name) & F.col("bucket").isNotNull())
+    newest = done.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
+    wanted = None if buckets is None else set(buckets)
+    paths = [f"{root}/{name}/batch={r['batch']}/bucket={r['bucket']}" for r in newest if wanted is None or r["bucket"] in wanted]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def committed(spark: SparkSession, root: str, name: str, schema: T.StructType, *, last: bool = False, batch: int | None = None) -> DataFrame:
+    """A relation's rows of all committed batches, of one of them, or of the last one, for a relation that each batch holds whole."""
     done = _commits(spark, root).filter(F.col("relation") == name)
+    done = done if batch is None else done.filter(F.col("batch") == batch)
     done = done.agg(F.max("batch").alias("batch")) if last else done.select("batch").distinct()
     try:
         rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/{name}")

@@ -133,7 +133,7 @@ def test_ingest_last_to_arrive_holds(spark):
     ents = spark.createDataFrame([], "project_id string, name string, entity_id string, kind string, attributes map<string,string>, first_seen_at timestamp, last_seen_at timestamp")
     edges = spark.createDataFrame([], "project_id string, from_id string, to_id string, relation string, edge_id string, recorded_at timestamp, valid_from timestamp, valid_to timestamp, properties map<string,string>, source_episode string, invalidated_at timestamp")
     out = ingest(episodes, None, ents, edges, "2024-02-01 00:00:00")
-    assert {r["name"]: r["kind"] for r in out.entities.collect()} == {"A": "k1", "B": None}
+    assert {r["name"]: r["kind"] for r in out.entities.collect()} == {"A": "k1", "B": "concept"}
     (edge,) = out.edges.collect()
     assert (edge["properties"], edge["source_episode"]) == ({"title": "t1"}, "5")
 
