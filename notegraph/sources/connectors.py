@@ -12,8 +12,8 @@ SLACK = "struct<type:string,challenge:string,event:struct<type:string,text:strin
 REPLAY_SECONDS = 300
 
 
-def markdown_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every *.md under path, whole: path, file, modified_at, text. Any store that Spark reads."""
+def markdown_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every *.md under path, or those of a list of paths, whole: path, file, modified_at, text. Any store that Spark reads."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
     return found.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("modificationTime").alias("modified_at"), F.decode("content", "utf-8").alias("text"))
 

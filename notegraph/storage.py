@@ -93,10 +93,11 @@ def latest(spark: SparkSession, root: str, name: str, schema: T.StructType, buck
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def committed(spark: SparkSession, root: str, name: str, schema: T.StructType, *, last: bool = False, batch: int | None = None) -> DataFrame:
-    """A relation's rows of all committed batches, of one of them, or of the last one, for a relation that each batch holds whole."""
+def committed(spark: SparkSession, root: str, name: str, schema: T.StructType, *, last: bool = False, batch: int | None = None, until: int | None = None) -> DataFrame:
+    """A relation's rows of all committed batches, of one of them, of those until one, or of the last one, for a relation that each batch holds whole."""
     done = _commits(spark, root).filter(F.col("relation") == name)
     done = done if batch is None else done.filter(F.col("batch") == batch)
+    done = done if until is None else done.filter(F.col("batch") <= until)
     done = done.agg(F.max("batch").alias("batch")) if last else done.select("batch").distinct()
     try:
         rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/{name}")

@@ -67,18 +67,6 @@ def test_markdown_round_trip(spark, tmp_path):
     assert sorted((r["source"], r["content"], r["status"]) for r in got) == [("md-import:a.md", "Hello", "ok"), ("md-import:b.md", "", "skipped")]
 
 
-def test_watched_folder(spark, tmp_path):
-    folder, seen = tmp_path / "w", []
-    folder.mkdir()
-    (folder / "a.md").write_text("one")
-    for text in ("two", None):
-        q = streams.deliver(streams.watch_markdown(spark, str(folder)), lambda df, i: seen.extend(r["content"] for r in df.collect()), str(tmp_path / "c"))
-        q.awaitTermination()
-        if text:
-            (folder / "b.md").write_text(text)
-    assert seen == ["one", "two"]
-
-
 def test_backup_and_restore(spark, tmp_path):
     users = spark.createDataFrame([("1", "a@x"), ("2", "b@x")], "id string, email string")
     manifest = connectors.backup({"users": users}, str(tmp_path / "b")).collect()
