@@ -344,15 +344,16 @@ def ppr_note_rank(spark, sf):
 
 
 def _old_entities(spark, sf):
-    s = a.read(spark, sf, "supplier").filter("s_suppkey % 2 = 0")
+    s = a.read(spark, sf, "supplier")
     at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     return s.select(F.lit("p").alias("project_id"), F.col("s_name").alias("name"), F.concat(F.lit("old:"), "s_suppkey").alias("entity_id"), F.lit("supplier").alias("kind"), F.create_map(F.lit("bal"), F.col("s_acctbal").cast("string")).alias("attributes"), at.alias("first_seen_at"), at.alias("last_seen_at"))
 
 
-@query("""WITH o AS (SELECT s_name AS name, 'old:' || s_suppkey AS id FROM supplier WHERE s_suppkey % 2 = 0), n AS (SELECT s_name AS name, min(s_suppkey) AS k FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1)
+@query("""WITH o AS (SELECT s_name AS name, 'old:' || s_suppkey AS id FROM supplier), n AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE s_name || ' Ltd' END AS name, min(s_suppkey) AS k FROM supplier GROUP BY 1)
  SELECT coalesce(o.name, n.name) AS name, coalesce(o.id, 'new:' || n.k) AS entity_id, CASE WHEN n.k IS NULL THEN 'supplier' ELSE 'vendor' END AS kind, o.id IS NOT NULL AS first_seen_old, n.k IS NOT NULL AS last_seen_new FROM o FULL JOIN n ON o.name = n.name""")
 def entity_upsert(spark, sf):
-    s = a.read(spark, sf, "supplier").filter("s_suppkey % 3 = 0")
+    """All suppliers told of once more, every third under its old name."""
+    s = a.read(spark, sf, "supplier").withColumn("s_name", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit(" Ltd"))))
     at = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
     new = s.select(F.lit("p").alias("project_id"), F.col("s_name").alias("name"), F.concat(F.lit("new:"), "s_suppkey").alias("entity_id"), F.lit("vendor").alias("kind"), F.create_map(F.lit("k"), F.col("s_suppkey").cast("string")).alias("attributes"), at.alias("seen_at"), F.col("s_suppkey").alias("seq"))
     merged = mutations.upsert_entities(_old_entities(spark, sf), new)
@@ -374,7 +375,7 @@ def edge_merge(spark, sf):
     return m.agg(F.count("*").alias("edges"), F.count_if(F.col("edge_id") == "new").alias("fresh"), F.count_if(F.col("properties")["v"] == "2").alias("asserted"), F.count("invalidated_at").alias("invalidated"))
 
 
-@query(f"""WITH {V_EDGES} SELECT from_id, to_id, relation, CASE WHEN from_id IN ('n:1', 'n:2') THEN 'gone' ELSE 'kept' END AS state FROM edges WHERE relation = 'IN' AND from_id LIKE 'n:%'""")
+@query(f"""WITH {V_EDGES} SELECT from_id, to_id, relation, CASE WHEN from_id IN ('n:1', 'n:2') OR invalidated_at IS NOT NULL THEN 'gone' ELSE 'kept' END AS state FROM edges""")
 def edge_supersede(spark, sf):
     rows = [("e1", "nation_1", "AFRICA", "IN"), ("e1", "Nation_2", "region:own", "IN"), ("e1", "nobody", "AFRICA", "IN"), ("e1", "NATION_3", "AFRICA", "  ")]
     triples = spark.createDataFrame(rows, "episode_id string, from_name string, to_name string, relation string")
@@ -382,9 +383,8 @@ def edge_supersede(spark, sf):
     own = nations.select(F.lit("e1").alias("episode_id"), F.col("n_name").alias("name"), F.concat(F.lit("n:"), "n_nationkey").alias("entity_id"))
     region = nations.filter("n_nationkey = 2").select(F.lit("e1").alias("episode_id"), F.lit("REGION:OWN").alias("name"), F.concat(F.lit("r:"), "n_regionkey").alias("entity_id"))
     africa = nations.filter("n_nationkey = 1").select(F.lit("e1").alias("episode_id"), F.lit("africa").alias("name"), F.concat(F.lit("r:"), "n_regionkey").alias("entity_id"))
-    hits = mutations.resolve_edges(triples, own.unionByName(region).unionByName(africa), a.entities(spark, sf).filter("kind = 'nation'"))
-    edges = a.edges(spark, sf).filter("relation = 'IN' and from_id like 'n:%'")
-    return mutations.invalidate(edges, hits, NOW).select("from_id", "to_id", "relation", F.when(F.col("invalidated_at").isNotNull(), "gone").otherwise("kept").alias("state"))
+    hits = mutations.resolve_edges(triples, own.unionByName(region).unionByName(africa), a.entities(spark, sf))
+    return mutations.invalidate(a.edges(spark, sf), hits, NOW).select("from_id", "to_id", "relation", F.when(F.col("invalidated_at").isNotNull(), "gone").otherwise("kept").alias("state"))
 
 
 @query("""SELECT c.conv_id * 1000 + c.turn AS note_id, count(DISTINCT d.role) AS entities FROM conversations c JOIN conversations d ON c.conv_id = d.conv_id GROUP BY 1""")
