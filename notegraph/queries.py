@@ -168,6 +168,26 @@ def lexical_rank(spark, sf):
     return _lex(spark, sf).select("rank", "note_id", "score")
 
 
+_PLACED = """f AS (SELECT note_id, regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+') AS a, regexp_split_to_array(lower(context), '[^\\p{L}\\p{N}]+') AS b, regexp_split_to_array(lower(array_to_string(tags, ' ')), '[^\\p{L}\\p{N}]+') AS d FROM active),
+ g AS (SELECT note_id, list_filter(a, lambda t: t <> '') AS a, list_filter(b, lambda t: t <> '') AS b, list_filter(d, lambda t: t <> '') AS d FROM f),
+ w AS (SELECT note_id, unnest(a) AS word, unnest(range(1, len(a) + 1)) AS pos, 1.0::DOUBLE AS weight FROM g UNION ALL SELECT note_id, unnest(b), unnest(range(len(a) + 1, len(a) + len(b) + 1)), 0.4 FROM g
+  UNION ALL SELECT note_id, unnest(b), unnest(range(len(a) + len(b) + 1, len(a) + 2 * len(b) + 1)), 0.2 FROM g UNION ALL SELECT note_id, unnest(d), unnest(range(len(a) + 2 * len(b) + 1, len(a) + 2 * len(b) + len(d) + 1)), 0.1 FROM g),
+ t AS (SELECT * FROM (SELECT DISTINCT note_id, word, least(pos, 16383) AS pos, weight FROM w WHERE word IN ('the', 'and', 'of', 'src3')) QUALIFY row_number() OVER (PARTITION BY note_id, word ORDER BY pos, weight DESC) <= 255),
+ pair AS (SELECT x.note_id, sum(ln(1 - sqrt(x.weight * y.weight * CASE WHEN abs(x.pos - y.pos) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(x.pos - y.pos) / 1.5 - 2)) END))) AS unsaid
+  FROM t x JOIN t y ON x.note_id = y.note_id AND x.word < y.word AND x.pos <> y.pos WHERE x.word <> 'src3' AND y.word <> 'src3' GROUP BY 1),
+ all_of AS (SELECT note_id, round(CASE WHEN 1 - exp(unsaid) > 0 THEN 1 - exp(unsaid) ELSE 1e-20 END, 6) AS score FROM pair WHERE note_id IN (SELECT note_id FROM t WHERE word <> 'src3' GROUP BY 1 HAVING count(DISTINCT word) = 3)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY pos) AS j FROM t WHERE word = 'src3'),
+ one AS (SELECT note_id, round((max(weight) + sum(weight / (j * j)) - max(weight) / pow(arg_min(j, (-weight, j)), 2)) / 1.64493406685, 6) AS score FROM n GROUP BY 1)"""
+
+
+@query(f"""WITH {V_NOTES}, {_PLACED}, r AS (SELECT 'the and of' AS query, note_id, score, row_number() OVER (ORDER BY score DESC, note_id) AS rank FROM all_of UNION ALL SELECT 'src3', note_id, score, row_number() OVER (ORDER BY score DESC, note_id) FROM one)
+ SELECT query, note_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 50""")
+def ts_rank(spark, sf):
+    """Notes that hold all terms, by how near each other they stand; and those of one term, by its occurrences."""
+    of = lambda q: lexical.top_k_positions(_active(spark, sf), q.split(), 50).select(F.lit(q).alias("query"), "note_id", "score", "rank")
+    return of("the and of").unionByName(of("src3"))
+
+
 @query("""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS w FROM documents),
  c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda t: t = 'thing')) AS a, len(list_filter(w, lambda t: t = 'with')) AS b FROM w),
  s AS (SELECT count(*) AS d, avg(n) AS m, sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS da, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS db FROM c),

@@ -1,5 +1,6 @@
 """The hybrid search over the whole memory."""
 
+import pytest
 from notegraph import queries
 from notegraph.operators import fusion
 
@@ -17,3 +18,35 @@ def test_four_streams(spark, sf):
     assert abs(got[0]["score"] - max(score.values())) < 1e-8
     for r in got:
         assert r["from_graph"] == (r["note_id"] in dict(ranks["graph"])) and r["from_lexical"] == (r["note_id"] in dict(ranks["lexical"]))
+
+
+def test_positional_rank(spark):
+    """ts_rank by its formula, over the pairs of places of two terms."""
+    import itertools
+    import math
+
+    from notegraph.operators import lexical
+
+    texts = {1: ("big cat and big dog", "dog", []), 2: ("dog " + "x " * 200 + "cat", "", []), 3: ("cat dog", None, ["dog"]), 4: ("cat", "", []), 5: ("cat cat", "dog", None), 6: (None, None, None), 7: ("dog cat " * 400, "", [])}
+    notes = spark.createDataFrame([(i, c, x, t) for i, (c, x, t) in texts.items()], "note_id long, content string, context string, tags array<string>")
+
+    def places(i, term):
+        at, out = 0, []
+        for words, weight in zip(((texts[i][0] or "").split(), (texts[i][1] or "").split(), texts[i][2] or []), (1.0, 0.4, 0.1), strict=True):
+            out += [(at + j, weight) for j, w in enumerate(words, 1) if w == term]
+            at += len(words)
+        return out[:255]
+
+    def rank(i):
+        left = 1.0
+        for (p, v), (q, w) in itertools.product(places(i, "cat"), places(i, "dog")):
+            if p != q:
+                left *= 1 - math.sqrt(v * w * (1e-30 if abs(p - q) > 100 else 1 / (1.005 + 0.05 * math.exp(abs(p - q) / 1.5 - 2))))
+        return round(1 - left, 6)
+
+    got = lexical.top_k_positions(notes, ["cat", "dog", "cat"], 10).collect()
+    want = sorted(((i, rank(i)) for i in (1, 2, 3, 5, 7)), key=lambda x: (-x[1], x[0]))
+    assert [(r["note_id"], r["score"]) for r in got] == [(i, pytest.approx(s, abs=1e-6)) for i, s in want]
+    (one,) = lexical.top_k_positions(notes.filter("note_id = 5"), ["cat"], 10).collect()
+    assert one["score"] == pytest.approx((1 + 1 / 4) / 1.64493406685, abs=1e-6)
+    assert lexical.top_k_positions(notes, [], 10).isEmpty() and lexical.top_k_positions(notes, ["nowhere"], 10).isEmpty()
