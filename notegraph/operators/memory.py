@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +78,17 @@ def meta_window(reflections: DataFrame, scope: str, now: str, most: int = MAX_NO
     return reflections.filter((F.col("scope") != scope) & F.col("generated_at").between(start, F.lit(until or now).cast("timestamp"))).orderBy(F.desc("generated_at"), F.desc("reflection_id")).limit(most)
 
 
-def reflection_body(notes: DataFrame) -> DataFrame:
-    """One row (body, n): a bullet for each note of a window, newest first. No notes: an empty body."""
+def _body() -> Column:
+    """A bullet for each note of a group, newest first."""
     context = F.when(F.trim(F.coalesce("context", F.lit(""))) == "", "").otherwise(F.concat(F.lit("("), F.col("context"), F.lit(") ")))
     bullet = F.concat(F.lit("- ["), F.date_format("created_at", "yyyy-MM-dd"), F.lit("] "), context, F.coalesce("content", F.lit("")))
     rows = F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "note_id", bullet.alias("line")))))
-    return notes.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("body"), F.count("*").alias("n"))
+    return F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
+
+
+def reflection_body(notes: DataFrame) -> DataFrame:
+    """One row (body, n): a bullet for each note of a window, newest first. No notes: an empty body."""
+    return notes.agg(_body().alias("body"), F.count("*").alias("n"))
 
 
 def meta_body(reflections: DataFrame) -> DataFrame:
@@ -103,6 +109,36 @@ def reflect(notes: DataFrame, reflections: DataFrame, scope: str, now: str, writ
     return row.select("scope", "summary", F.lit(now).cast("timestamp").alias("generated_at"), "generator_model"), summary, n
 
 
+def reflect_all(projects: DataFrame, notes: DataFrame, scope: str, now: str, writer: Summariser, *, since: str | None = None, until: str | None = None, most: int = MAX_NOTES) -> DataFrame:
+    """One row a project (project_id): status, n, summary, error, scope, generated_at, generator_model, in one plan for all.
+
+    Each project's window is that of reflection_window(): its newest active notes, `most` at most, so that a body is bounded however many notes there are. The writer
+    gets a body at a time in the tasks. status is written, empty (no notes in the window) or failed (the writer raised: error holds its words); one
+    project's failure leaves the others be. Repeated and null projects count once and not at all.
+    """
+    end = F.lit(until or now).cast("timestamp")
+    start = F.lit(since).cast("timestamp") if since else F.lit(now).cast("timestamp") - F.expr("interval 7 days")
+    newest = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("note_id")))
+    window = notes.filter(F.col("superseded_at").isNull() & F.col("created_at").between(start, end)).withColumn("place", newest).filter(F.col("place") <= most)
+    bodies = window.groupBy("project_id").agg(_body().alias("body"), F.count("*").alias("n"))
+    head, tail = NOTE_HEADER.split("{n}")
+    asked = projects.filter("project_id is not null").select("project_id").distinct().join(bodies, "project_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+    @F.pandas_udf("summary string, error string")
+    def write(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            try:
+                out.append((None if text is None else writer.summarise(scope, text), None))
+            except Exception as e:
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["summary", "error"], dtype=object)
+
+    told = asked.withColumn("w", write(F.when(F.col("n") > 0, F.concat(F.lit(head), F.col("n").cast("string"), F.lit(tail), F.col("body")))))
+    status = F.when(F.col("n") == 0, "empty").when(F.col("w.error").isNotNull(), "failed").otherwise("written")
+    return told.select("project_id", status.alias("status"), "n", F.col("w.summary").alias("summary"), F.col("w.error").alias("error"), F.lit(scope).alias("scope"), F.lit(now).cast("timestamp").alias("generated_at"), F.lit(writer.name).alias("generator_model"))
+
+
 def related_entities(hits: DataFrame, mentions: DataFrame) -> DataFrame:
     """hits (a search's few) with related, the sorted ids of the entities that the note mentions; an empty list for none."""
     kind = mentions.schema["entity_id"].dataType

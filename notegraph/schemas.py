@@ -40,6 +40,8 @@ MEMORY = {
     "entities": _schema(project_id=_s, name=_s, entity_id=_s, kind=_s, attributes_=_map, first_seen_at=_t, last_seen_at=_t),
     "edges": _schema(project_id=_s, from_id=_s, to_id=_s, relation=_s, edge_id=_s, recorded_at=_t, valid_from_=_t, valid_to_=_t, invalidated_at_=_t, source_episode_=_s, properties_=_map),
     "note_relations": _schema(source_id=_s, target_id=_s, project_id=_s, relation_type=_s, confidence=_d, created_at=_t),
+    "reflections": RELATIONS["reflections"],
+    "reflection_runs": _schema(project_id=_s, scope=_s, status=_s, n=T.LongType(), error_=_s, generated_at=_t),
     "supersessions": _schema(note_id=_s, project_id=_s, superseded_at=_t),
 }
 #: Relations whose rows belong to a project, and those that belong to an organization.

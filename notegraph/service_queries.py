@@ -244,6 +244,28 @@ def reflect_write(spark, sf):
     return made[0].unionByName(made[1]).unionByName(made[2]).select("scope", _stamp("generated_at"), "generator_model", "summary")
 
 
+class _Wary(FirstLines):
+    """Refuses sources of one tenant."""
+
+    def summarise(self, scope, body):
+        if "src7" in body:
+            raise ValueError("not this one")
+        return super().summarise(scope, body)
+
+
+@query(f"""WITH {V_NOTES}, p AS (SELECT DISTINCT source AS project_id FROM documents UNION SELECT 'nobody'),
+ w AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, note_id DESC) AS place FROM active WHERE created_at BETWEEN TIMESTAMP '2024-01-07' - INTERVAL 7 DAY AND TIMESTAMP '2024-01-07'),
+ b AS (SELECT project_id, count(*) AS n, string_agg('- [' || strftime(created_at, '%Y-%m-%d') || '] (' || project_id || ') ' || content, chr(10) ORDER BY created_at DESC, note_id DESC) AS body FROM w WHERE place <= 30 GROUP BY 1),
+ t AS (SELECT project_id, coalesce(n, 0) AS n, 'Reflect on these ' || n || ' recent notes (most recent first):' || chr(10) || chr(10) || body AS body FROM p LEFT JOIN b USING (project_id))
+ SELECT project_id, CASE WHEN n = 0 THEN 'empty' WHEN contains(body, 'src7') THEN 'failed' ELSE 'written' END AS status, n, CASE WHEN NOT contains(body, 'src7') THEN 'weekly: ' || array_to_string(list_transform(string_split(body, chr(10))[1:3], lambda l: substring(l, 1, 80)), ' / ') END AS summary,
+  CASE WHEN contains(body, 'src7') THEN 'ValueError: not this one' END AS error FROM t""")
+def reflect_all(spark, sf):
+    """A week's reflections of all tenants at once; the writer fails for one, and one has no notes."""
+    notes = a.notes(spark, sf).withColumn("context", F.col("project_id"))
+    projects = notes.select("project_id").unionByName(spark.createDataFrame([("nobody",)], "project_id string"))
+    return memory.reflect_all(projects, notes, "weekly", "2024-01-07 00:00:00", _Wary()).select("project_id", "status", "n", "summary", "error")
+
+
 # --- tenants, keys, backups --------------------------------------------------------------------
 
 

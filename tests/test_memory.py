@@ -12,7 +12,7 @@ from notegraph.functions import defaults
 from notegraph.functions.embedding import embedding
 from notegraph.models import HashEmbedder
 from notegraph.plans import ingest as plan
-from notegraph.plans.memory import link, of_project, relations
+from notegraph.plans.memory import link, of_project, reflect, relations
 from notegraph.plans.search import Search, SearchOptions, SearchRequest
 from notegraph.storage import committed, latest
 from notegraph.schemas import MEMORY
@@ -200,3 +200,26 @@ def test_watching_polls_until_it_is_stopped(spark, tmp_path):
     finally:
         q.stop()
     assert len(polled) > 1
+
+
+def test_reflections_of_all_projects(spark, tmp_path):
+    """One failing project leaves the others' reflections; a run counts once, and the next one takes the failed project in."""
+
+    class Wary:
+        name, broken = "wary", True
+
+        def summarise(self, scope, body):
+            if self.broken and "bad" in body:
+                raise ValueError("no")
+            return f"{scope}: {body.count(chr(10) + '- ')}"
+
+    root, projects = str(tmp_path), spark.createDataFrame([("p",), ("q",), ("r",), ("p",), (None,)], "project_id string")
+    put(spark, root, [("a", "p", said(["one", "two"])), ("b", "q", said(["bad"]))])
+    writer = Wary()
+    assert reflect(spark, root, projects, "weekly", LATER, writer, epoch=1) is not None and reflect(spark, root, projects, "weekly", LATER, writer, epoch=1) is None
+    whole = relations(spark, root)
+    assert shown(whole["reflections"], "project_id", "scope", "summary", "generator_model") == [("p", "weekly", "weekly: 2", "wary")]
+    assert shown(whole["reflection_runs"], "project_id", "status", "n") == [("p", "written", 2), ("q", "failed", 1), ("r", "empty", 0)]
+    writer.broken = False
+    assert reflect(spark, root, projects, "weekly", LATER, writer, epoch=2) is not None
+    assert shown(relations(spark, root)["reflections"], "project_id", "summary") == [("p", "weekly: 2"), ("p", "weekly: 2"), ("q", "weekly: 1")]
