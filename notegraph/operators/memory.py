@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from notegraph.functions.scalars import kind_name, similarity
 from notegraph.models import Summariser
 from notegraph.operators.vector import knn
+from notegraph.storage import stored
 
 # Defaults of the linker, the gate, reflection windows and lists.
 NEIGHBOURS, LEAST_SIMILAR, LEAST_CONFIDENT = 5, 0.30, 0.60
@@ -21,6 +22,8 @@ NOTE_HEADER = "Reflect on these {n} recent notes (most recent first):\n\n"
 META_HEADER = "Synthesize across these {n} reflections (most recent first):\n\n"
 NO_NOTES = "No notes found in the requested window — nothing to reflect on yet."
 NO_REFLECTIONS = "No reflections found in the requested window — generate some lower-level reflections first."
+#: Pieces of a text by which it meets the notes that may hold it.
+ANCHOR = 5
 LIMITS = {"episodes": (50, 500), "notes": (50, 500), "reflections": (20, 100), "edges": (50, 1000), "entities": (50, 200)}
 
 
@@ -146,10 +149,34 @@ def related_entities(hits: DataFrame, mentions: DataFrame) -> DataFrame:
     return hits.join(own, "note_id", "left").withColumn("related", F.coalesce("related", F.array().cast(T.ArrayType(kind))))
 
 
+def _windows(text: Column, width: int, inner: bool) -> Column:
+    """Distinct hashes of width pieces in a row of a text cut at spaces; inner leaves out the first and the last piece, which may be parts of words."""
+    rows = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - width), lambda i: F.xxhash64(F.lit(width), *(F.get(p, i + k) for k in range(width))))
+    found = lambda p: F.when(F.size(p) >= width, F.array_distinct(rows(p)))
+    cut = F.split(text, " ", -1)
+    return F.get(F.transform(F.array(F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0))) if inner else cut), found), F.lit(0))  # cut once, as the lambda's variable
+
+
 def contained(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """(query_id, gold_id) of each query (query_id, text) whose text, if it has any, stands in a note's content."""
-    asked = queries.filter(F.length("text") > 0)
-    return asked.join(notes, F.col("content").contains(F.col("text"))).select("query_id", F.col("note_id").alias("gold_id"))
+    """(query_id, gold_id) of each query (query_id, text) whose text, if it has any, stands in a note's content.
+
+    Pieces inside a text, cut at spaces, stand in a row in every note that holds it. So notes meet queries by the hash of ANCHOR such pieces (of one piece in
+    texts of fewer than ANCHOR + 2), namely each query's rarest among the notes, and only those pairs are compared whole. Texts without a piece inside are
+    compared with every note.
+    """
+    asked = queries.filter(F.length("text") > 0).select("query_id", "text").distinct()
+    pieces = F.size(F.split("text", " ", -1))
+    widths = {ANCHOR: pieces >= ANCHOR + 2, 1: (pieces > 2) & (pieces < ANCHOR + 2)}
+    of = [asked.filter(fits).select("query_id", "text", F.explode(_windows(F.col("text"), w, True)).alias("h")) for w, fits in widths.items()]
+    sought = stored(of[0].unionByName(of[1]), "sought")
+    there = F.concat(*(F.coalesce(_windows(F.col("content"), w, False), F.array().cast("array<bigint>")) for w in widths))
+    met = stored(notes.select("note_id", F.explode(there).alias("h")).join(sought.select("h").distinct(), "h", "left_semi").distinct(), "met")
+    counted = sought.join(met.groupBy("h").agg(F.count("*").alias("n")), "h", "left")
+    rarest = counted.groupBy("query_id", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h")).alias("a")).filter("a.n > 0")
+    near = rarest.select("query_id", "text", F.col("a.h").alias("h")).join(met, "h").join(notes.select("note_id", "content"), "note_id")
+    short = asked.filter(pieces <= 2).join(notes.select("note_id", "content"), F.col("content").contains(F.col("text")))
+    found = near.filter(F.col("content").contains(F.col("text")))
+    return found.select("query_id", F.col("note_id").alias("gold_id")).unionByName(short.select("query_id", F.col("note_id").alias("gold_id")))
 
 
 def gold_ranks(gold: DataFrame, hits: DataFrame) -> DataFrame:

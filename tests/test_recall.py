@@ -30,6 +30,23 @@ def test_contained(spark):
     assert {tuple(r) for r in memory.contained(asked, notes).collect()} == {(1, 1), (1, 2)}
 
 
+def test_contained_is_what_a_scan_finds(spark):
+    """Texts cut out of notes anywhere, also within words and at double spaces, of one piece and of many."""
+    import random
+
+    rng = random.Random(1)
+    notes = [(i, "".join(rng.choice(["ab ", "a ", "ba", " ", "c d ", "ab\n"]) for _ in range(rng.randrange(0, 60)))) for i in range(80)] + [(90, None), (91, "")]
+    texts = []
+    for i in range(150):
+        whole = rng.choice(notes)[1] or "ab"
+        at = rng.randrange(0, len(whole) + 1)
+        texts.append((i, whole[at : at + rng.randrange(1, 30)] + ("x" if i % 10 == 0 else "")))
+    texts += [(200, None), (201, "")]
+    got = memory.contained(spark.createDataFrame(texts, "query_id long, text string"), spark.createDataFrame(notes, "note_id long, content string")).collect()
+    want = {(q, n) for q, t in texts for n, c in notes if t and c is not None and t in c}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len(want) > 300
+
+
 def test_recall_follows_the_documents(spark, tmp_path):
     """Item 1 stands in 10 and, deeper in its words' rank, in 11; item 2 in 12, cut in a word that no term matches; item 3 nowhere."""
     rows = [(10, "red green blue red green blue"), (11, "red green blue"), (12, "xalpha beta"), (13, "blue green red red red red"), (14, None)]
