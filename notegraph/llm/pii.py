@@ -1,7 +1,7 @@
 """PII spans by weak supervision.
 
-Labelers vote on candidate spans: the shape's own regular expression, a gazetteer of endings, prefixes and
-names, and the context around the span. Expectation-maximisation over the counts of all vote patterns of the
+Labelers vote on candidate spans: the shape's own regular expression, a gazetteer of domains' endings, reserved
+addresses and bank accounts' countries, and the context around the span. Expectation-maximisation over the counts of all vote patterns of the
 corpus estimates each labeler's reliability without gold labels; its posteriors then train
 a logistic classifier over the votes and the span's own features. Votes and features are discrete, so
 what the driver gathers is one count per pattern, a table whose size the code fixes.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import small_batches
+from notegraph.llm.common import quoted, small_batches
 
 # The kinds in the order in which spans are listed; the base ones first.
 BASE = ("email", "ip", "card", "phone")
@@ -95,15 +95,30 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def wide_spans(text: str, held: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Candidates of the added kinds that no base span overlaps; of overlapping ones the first kind's."""
     out: list[tuple[str, int, int]] = []
-    taken = list(held)
+    taken = merged(held)
     for kind, pattern in WIDE:
         if kind == "email_at" and not AT.search(text):
             continue
+        found, at = [], 0
         for m in pattern.finditer(text):
             a, b = m.span()
-            if all(b <= x or y <= a for x, y in taken):
-                out.append((kind, a, b))
-                taken.append((a, b))
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if at == len(taken) or b <= taken[at][0]:
+                found.append((a, b))
+        out += [(kind, a, b) for a, b in found]
+        taken = merged([*taken, *found]) if found else taken
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one; a sweep over them and matches in order costs no more than both's number."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -210,7 +225,7 @@ def count_patterns(docs: DataFrame, text_col: str = "text") -> Counter:
                     c.update(votes(text, *s) for s in _candidates(text))
         yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in c], pa.string()), pa.array(list(c.values()), pa.int64())], ["pattern", "n"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern string, n long")
+    found = docs.select(F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "pattern string, n long")
     return Counter({tuple(map(int, r["pattern"].split(","))): r["n"] for r in found.groupBy("pattern").agg(F.sum("n").alias("n")).collect()})
 
 
@@ -238,4 +253,4 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.string()] * 2 + [pa.list_(pa.float64())], strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, RESULT)

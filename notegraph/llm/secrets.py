@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import quoted, stored
+from notegraph.llm.common import let, quoted, stored
 
 # The patterns of the base kinds, in the order in which spans are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,6 +23,8 @@ OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 
 #: As spans of one start are listed; the last is the kind that ownership adds.
 KINDS = ("assign", "access", "hex", "opaque")
+#: Matches that are folded at a time: an accumulator is copied at each step, so one of all matches would cost their square.
+FOLD = 128
 SPAN = "struct<start:bigint,end:bigint,value:string>"
 
 
@@ -44,15 +46,21 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"), values.alias("value"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / FOLD).cast("int")), lambda i: F.slice(steps, i * FOLD + 1, FOLD))
     none = F.array().cast(f"array<{SPAN}>")
+    first = lambda at, empty: F.struct(at.cast("long").alias("at"), empty.alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out")).cast(f"struct<at:bigint,out:array<{SPAN}>>")
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(steps, first, lambda a, x: add(a, x).cast(f"struct<at:bigint,out:array<{SPAN}>>"), lambda a: a["out"])).otherwise(none)
+    def add_block(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, first(acc["at"], none), add)
+        return let(inner, lambda b: F.struct(b["at"].alias("at"), F.concat(acc["out"], F.array(b["out"])).alias("out"))).cast(f"struct<at:bigint,out:array<array<{SPAN}>>>")
+
+    folded = F.aggregate(blocks, first(F.lit(0), F.array().cast(f"array<array<{SPAN}>>")), add_block, lambda a: F.flatten(a["out"]))
+    return F.when(text.rlike(pattern), folded).otherwise(none)
 
 
 def _listed(found: Column, kind: str) -> Column:

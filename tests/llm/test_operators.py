@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -320,6 +321,18 @@ def test_secrets_run_no_python(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_secrets_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in queries.op8_secrets(spark, sf).collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == docs.keys()
+    for d, text in docs.items():
+        slow = secrets_slowly(text)
+        assert [got[d][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s.startswith(k) for s in slow) for k in ("assign", "access", "hex")]
+        assert got[d]["base_sha256"] == hashlib.sha256(",".join(slow).encode()).hexdigest()
+        assert set(slow) <= set(filter(None, got[d]["spans"].split(",")))
+
+
 # --- PII ---------------------------------------------------------------------------------------
 
 
@@ -359,6 +372,52 @@ def test_em_finds_the_reliable_labeler():
     assert right < 0.15 * 4000
 
 
+def test_pii_with_many_spans():
+    """Added kinds give way to base spans and to kinds before them, as found by comparing all pairs; 20,000 spans in seconds."""
+    few = "a@b.com 123-45-6789 a(at)b.org +1 (555) 010 9999 (030) 1234 5678 0123-456-7890 192.168.0.1 DE89370400440532013000 4111 1111 1111 1111 x(at)123-45-6789.com "
+    for text in (few, few * 7, "123-45-6789 " * 50):
+        held = [s for k in pii.BASE for s in pii.base_spans(text)[k]]
+        taken, slow = list(held), []
+        for kind, pattern in pii.WIDE:
+            for m in pattern.finditer(text):
+                if all(m.end() <= x or y <= m.start() for x, y in taken):
+                    slow.append((kind, *m.span()))
+                    taken.append(m.span())
+        assert pii.wide_spans(text, held) == slow and slow
+    start = time.monotonic()
+    assert len(pii.wide_spans("123-45-6789 x@y.com " * 20_000, [(20 * i + 12, 20 * i + 19) for i in range(20_000)])) == 20_000
+    assert time.monotonic() - start < 5
+
+
+def test_pii_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in queries.op9_pii(spark, sf).collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == docs.keys()
+    for d, text in docs.items():
+        slow = pii_slowly(text)
+        assert [got[d][f"n_{k}"] for k in pii.BASE] == [len(slow[k]) for k in pii.BASE]
+        shown = ",".join(f"{k}:{a}:{b}" for k in pii.BASE for a, b in slow[k])
+        assert got[d]["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+        assert set(filter(None, shown.split(","))) <= set(got[d]["spans"].split(","))
+
+
+def test_pii_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "mail a@b.com"), (2, None)], "`my.id` long, `a text.x` string")
+    assert [(r["doc_id"], r["n_email"]) for r in pii.detect(rows, id_col="my.id", text_col="a text.x").orderBy("doc_id").collect()] == [(1, 1), (2, 0)]
+
+
+def test_secret_spans_of_many_matches(spark):
+    """Matches beyond one fold's block, to their places; 20,000 in seconds."""
+    texts = ["", "é" * 3 + " AKIA" + "B" * 20] + ["".join(f"{'x' * (i % 7)} é{i:024x} " for i in range(n)) for n in (1, secrets.FOLD - 1, secrets.FOLD, secrets.FOLD + 1, 5 * secrets.FOLD)] + ["0123456789abcdef01234567 " * 20_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    start = time.monotonic()
+    got = {r["i"]: [(s["start"], s["end"], s["value"]) for s in r["s"]] for r in rows.select("i", secrets.spans(F.col("t"), "[0-9a-f]{24,}").alias("s")).collect()}
+    assert time.monotonic() - start < 30
+    for i, t in enumerate(texts):
+        assert got[i] == [(*m.span(), m[0]) for m in re.finditer("[0-9a-f]{24,}", t)]
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
