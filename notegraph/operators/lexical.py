@@ -106,6 +106,47 @@ def top_k_many(notes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.select("query_id", "note_id", "score", place.alias("rank")).filter(F.col("rank") <= k)
 
 
+def index(notes: DataFrame) -> DataFrame:
+    """(term, note_id, project_id, score, places, times, length): a row for each term of a note, with what top_k(), top_k_positions() and okapi() need of it. A null project stays null; without that column all are null."""
+    fields = _fields(notes)
+    project = F.col("project_id") if "project_id" in notes.columns else F.lit(None)
+    words = notes.select("note_id", project.cast("string").alias("project_id"), F.size(fields["content"]).alias("length"), F.explode(_positions(fields)).alias("w"))
+    place = F.struct(F.col("w.at").cast("int").alias("at"), (-F.col("w.weight")).alias("less"))
+    held = words.groupBy(F.col("w.word").alias("term"), "note_id", "project_id", "length").agg(
+        F.round(F.sum("w.weight"), 6).alias("score"), F.array_sort(F.collect_set(place)).alias("p"), F.count_if(F.col("w.weight") == WEIGHTS["content"]).cast("int").alias("times")
+    )
+    places = F.transform(F.slice("p", 1, MOST_OF_TERM), lambda x: F.struct(x["at"].alias("at"), (-x["less"]).alias("weight")))
+    return held.select("term", "note_id", "project_id", "score", places.alias("places"), "times", "length")
+
+
+def top_k_indexed(posts: DataFrame, notes: DataFrame, query_terms: list[str], k: int, *, positions: bool = False) -> DataFrame:
+    """top_k(), or top_k_positions(), of notes by the index()'s rows of the query's terms: no text is read. A note that stands twice in posts counts once. No terms: none."""
+    names = {t: f"s{i}" for i, t in enumerate(dict.fromkeys(query_terms))}
+    value = "places" if positions else "score"
+    every = posts.filter(F.col("term").isin(*names)).groupBy("note_id").agg(*(F.max(F.when(F.col("term") == t, F.col(value))).alias(n) for t, n in names.items())) if names else posts.select("note_id").limit(0)
+    full = every.dropna(subset=list(names.values())) if names else every
+    if not names:
+        score = F.lit(0.0)
+    elif positions:
+        score = positional_rank({t: F.col(n) for t, n in names.items()})
+    else:
+        score = reduce(lambda a, b: a + b, (F.col(n) for n in names.values()))
+    found = full.join(notes.select("note_id"), "note_id", "left_semi").select("note_id", F.round(score, 6).alias("score"))
+    return ranked(found.orderBy(F.desc("score"), "note_id").limit(k), F.desc("score"), "note_id")
+
+
+def okapi_indexed(posts: DataFrame, counts: DataFrame, totals: DataFrame, query_terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """okapi() by the index's rows of the query's terms. counts: (term, notes), a row or more for each; totals: (notes, words) of all notes, in one row or more."""
+    asked = list(dict.fromkeys(query_terms))
+    all_notes = totals.agg(F.sum("notes").alias("docs"), (F.sum("words") / F.sum("notes")).alias("mean"))
+    idf = counts.filter(F.col("term").isin(*asked)).groupBy("term").agg(F.sum("notes").alias("df")).join(F.broadcast(all_notes))  # one row to those of the query's terms
+    weights = idf.select("term", "mean", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
+    held = posts.filter(F.col("term").isin(*asked) & (F.col("times") > 0)).dropDuplicates(["term", "note_id"]).join(F.broadcast(weights), "term")
+    part = F.col("idf") * F.col("times") * (k1 + 1) / (F.col("times") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    found = held.groupBy("note_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return ranked(found.orderBy(F.desc("score"), "note_id").limit(k), F.desc("score"), "note_id")
+
+
 def postings(notes: DataFrame) -> DataFrame:
     """(term, note_id, field, position): the inverted index, to be stored sorted by term so that scans skip by statistics."""
     fields = _fields(notes)

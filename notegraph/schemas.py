@@ -44,6 +44,24 @@ MEMORY = {
     "reflection_runs": _schema(project_id=_s, scope=_s, status=_s, n=T.LongType(), error_=_s, generated_at=_t),
     "supersessions": _schema(note_id=_s, project_id=_s, superseded_at=_t),
 }
+#: The stored text index: postings and terms' counts live in buckets of their terms; each batch adds to all three. times, length and words count contents alone.
+INDEX = {
+    "postings": _schema(term=_s, note_id=_s, project_id_=_s, score=_d, places=T.ArrayType(T.StructType([T.StructField("at", _i), T.StructField("weight", _d)])), times=_i, length=_i),
+    "terms": _schema(term=_s, project_id_=_s, notes=T.LongType()),
+    "text_totals": _schema(project_id_=_s, notes=T.LongType(), words=T.LongType(), buckets=_i),
+}
+#: (relation, column, relation that it refers to, what becomes of a row whose parent goes). Entities and edges go with their project, so that none of theirs is left.
+CASCADE, SET_NULL, RESTRICT = "cascade", "set null", "restrict"
+FOREIGN_KEYS = (
+    ("memberships", "organization_id", "organizations", CASCADE), ("memberships", "user_id", "users", CASCADE), ("projects", "organization_id", "organizations", CASCADE),
+    ("tenant_schemas", "organization_id", "organizations", CASCADE), ("api_keys", "organization_id", "organizations", CASCADE), ("api_keys", "project_id", "projects", CASCADE),
+    ("episodes", "project_id", "projects", CASCADE), ("notes", "project_id", "projects", CASCADE), ("notes", "source_episode_id", "episodes", SET_NULL), ("reflections", "project_id", "projects", CASCADE),
+    ("note_embeddings", "note_id", "notes", CASCADE), ("image_embeddings", "note_id", "notes", CASCADE), ("note_entity_mentions", "note_id", "notes", CASCADE),
+    ("note_relations", "note_id", "notes", CASCADE), ("note_relations", "related_note_id", "notes", CASCADE),
+    *((r, "project_id", "projects", RESTRICT) for r in ("note_embeddings", "image_embeddings", "note_entity_mentions", "note_relations")),
+    ("entities", "project_id", "projects", CASCADE), ("edges", "project_id", "projects", CASCADE),
+    ("edges", "from_id", "entities", CASCADE), ("edges", "to_id", "entities", CASCADE), ("note_entity_mentions", "entity_id", "entities", CASCADE),
+)
 #: Relations whose rows belong to a project, and those that belong to an organization.
 BY_PROJECT = tuple(k for k, v in RELATIONS.items() if "project_id" in v.names)
 BY_ORGANIZATION = tuple(k for k, v in RELATIONS.items() if "organization_id" in v.names and "project_id" not in v.names)

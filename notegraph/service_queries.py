@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -10,12 +11,13 @@ from notegraph import adapters as a
 from notegraph.catalog import Scope
 from notegraph.functions import defaults, scalars as f
 from notegraph.models import FirstLines, HashEmbedder
-from notegraph.operators import accounts, graph, memory, mutations
-from notegraph.plans import views
+from notegraph.operators import accounts, graph, lexical, memory, mutations
+from notegraph.plans import textindex, views
 from notegraph.plans.ingest import extractions, ingest, store
 from notegraph.plans.memory import link, of_project, relations
 from notegraph.plans.search import Search, SearchOptions, SearchRequest
-from notegraph.queries import NOW, ORACLE, QUERIES, V_EDGES, V_NOTES, V_REFLECTIONS, _active, _fused, _KNN, _r, _stamp, _vec, _vector, query
+from notegraph.queries import NOW, ORACLE, QUERIES, TERMS, V_EDGES, V_NOTES, V_REFLECTIONS, _active, _fused, _KNN, _r, _stamp, _vec, _vector, query
+from notegraph.schemas import CASCADE, SET_NULL
 from notegraph.sources import backups, requests
 from notegraph.storage import shared_dir
 
@@ -381,3 +383,56 @@ def ingest_search(spark, sf):
     found = Search(spark, m, HashEmbedder(), options=SearchOptions(now=NOW, abstain=False)).run(SearchRequest(_ASKED, max_results=10))
     active = m.notes.filter("superseded_at is null").agg(F.count("*").alias("active"))
     return found.hits.select("note_id", _r("score", 9), "position", "content", F.size("related").cast("long").alias("entities")).crossJoin(F.broadcast(active))  # one row
+
+
+# --- the stored text index, and cascades -------------------------------------------------------
+
+
+def _text_index(spark, notes):
+    """An index of notes in a folder of this run's own, in two batches."""
+    root, first = _at(spark, "index"), F.coalesce(F.col("project_id") < "src2", F.lit(True))
+    texts = notes.withColumn("note_id", F.col("note_id").cast("string"))
+    for rows in (texts.filter(first), texts.filter(~first)):
+        textindex.add(spark, root, rows, 16)
+    return textindex.TextIndex(spark, root, whole=True)
+
+
+def _numbered(posts):
+    """Postings whose ids are numbers again, as those of the driver's notes."""
+    return posts.withColumn("note_id", F.col("note_id").cast("long"))
+
+
+@query(ORACLE["lexical_rank"])
+def lexical_indexed(spark, sf):
+    """lexical_rank by the stored index, of which it reads the buckets of its terms."""
+    posts = _numbered(_text_index(spark, a.raw_notes(spark, sf)).postings(TERMS))
+    return lexical.top_k_indexed(posts, _active(spark, sf), TERMS, 20).select("rank", "note_id", "score")
+
+
+@query(ORACLE["okapi_rank"])
+def okapi_indexed(spark, sf):
+    """okapi_rank by the stored index and the counts beside it."""
+    index, asked = _text_index(spark, a.raw_notes(spark, sf)), ["thing", "with"]
+    return lexical.okapi_indexed(_numbered(index.postings(asked)), index.counts(asked), index.totals(), asked, 20).select("rank", "note_id", "score")
+
+
+_TRADE = (
+    ("nation", "n_regionkey", "region", CASCADE), ("customer", "c_nationkey", "nation", CASCADE), ("supplier", "s_nationkey", "nation", CASCADE),
+    ("orders", "o_custkey", "customer", CASCADE), ("lineitem", "l_orderkey", "orders", CASCADE), ("lineitem", "l_suppkey", "supplier", SET_NULL),
+)
+_TRADE_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+
+@query("""WITH r AS (SELECT r_regionkey AS k FROM region WHERE r_name <> 'EUROPE'), n AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey IN (SELECT k FROM r) OR n_regionkey NOT IN (SELECT r_regionkey FROM region)),
+ c AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT k FROM n) OR c_nationkey NOT IN (SELECT n_nationkey FROM nation)), s AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey IN (SELECT k FROM n) OR s_nationkey NOT IN (SELECT n_nationkey FROM nation)),
+ o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM c) OR o_custkey NOT IN (SELECT c_custkey FROM customer)),
+ l AS (SELECT l_orderkey AS k, l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_suppkey NOT IN (SELECT k FROM s) AS gone FROM lineitem WHERE l_orderkey IN (SELECT k FROM o) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders))
+ SELECT 'region' AS relation, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS nulled FROM r UNION ALL SELECT 'nation', count(*), CAST(sum(k) AS BIGINT), 0 FROM n UNION ALL SELECT 'customer', count(*), CAST(sum(k) AS BIGINT), 0 FROM c
+ UNION ALL SELECT 'supplier', count(*), CAST(sum(k) AS BIGINT), 0 FROM s UNION ALL SELECT 'orders', count(*), CAST(sum(k) AS BIGINT), 0 FROM o UNION ALL SELECT 'lineitem', count(*), CAST(sum(k) AS BIGINT), count_if(gone) FROM l""")
+def cascade_all(spark, sf):
+    """A region goes, and along all keys its nations, their customers and suppliers, and orders with their lines; lines of other orders lose their supplier alone."""
+    tables = {t: a.read(spark, sf, t) for t in _TRADE_KEYS}
+    gone = tables["region"].filter("r_name = 'EUROPE'").select("r_regionkey")
+    left = mutations.delete(tables, "region", gone, _TRADE, _TRADE_KEYS).relations
+    counted = lambda t: left[t].agg(F.lit(t).alias("relation"), F.count("*").alias("n"), F.sum(_TRADE_KEYS[t]).cast("long").alias("keys"), (F.count_if(F.col("l_suppkey").isNull()) if t == "lineitem" else F.lit(0).cast("long")).alias("nulled"))
+    return reduce(lambda x, y: x.unionByName(y), map(counted, left))

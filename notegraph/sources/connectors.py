@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegraph.functions.scalars import body, file_name, frontmatter, hmac_sha256, kind_name, markdown
+from notegraph.sources.files import TextFiles
 
 SLACK = "struct<type:string,challenge:string,event:struct<type:string,text:string,channel:string,user:string>>"
 REPLAY_SECONDS = 300
@@ -60,11 +61,17 @@ def eval_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_markdown(notes: DataFrame, path: str) -> None:
-    """Each note as a document, written as rows (file, text) of Parquet: one file a note does not scale, and a copy step may unpack them."""
-    rendered_notes(notes).write.mode("overwrite").parquet(path)
+    """Each note as a file of its own under path, which executors must reach; markdown_files() reads them back. A note of an earlier export is replaced. Notes whose names would be alike get their whole id's hash at the end."""
+    notes.sparkSession.dataSource.register(TextFiles)
+    made = rendered_notes(notes)
+    alike = made.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("file").alias("f"), F.lit(True).alias("shared"))
+    own = F.concat(F.regexp_replace("file", r"\.md$", "_"), F.md5("note_id"), F.lit(".md"))
+    named = made.join(alike, F.col("file") == F.col("f"), "left").select(F.when(F.col("shared"), own).otherwise(F.col("file")).alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    named.write.format("text_files").mode("append").option("path", path).save()
 
 
 def rendered_notes(notes: DataFrame) -> DataFrame:
+    """(note_id, file, text) of each note."""
     kind = kind_name(F.col("kind"))
     note_id = F.col("note_id").cast("string")
     return notes.select("note_id", file_name(F.col("created_at"), kind, F.col("content"), note_id).alias("file"), markdown(note_id, kind, F.col("created_at"), F.col("tags"), F.col("keywords"), F.col("context"), F.col("content")).alias("text"))

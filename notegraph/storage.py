@@ -64,11 +64,11 @@ def is_done(spark: SparkSession, root: str, batch: int | None = None, writer: st
     return not done.filter(F.col("batch") == batch if writer is None else (F.col("writer") == writer) & (F.col("epoch") == epoch)).isEmpty()
 
 
-def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: int, *, keyed: dict[str, DataFrame] | None = None, writer: str | None = None, epoch: int | None = None) -> bool:
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: int, *, keyed: dict[str, DataFrame] | None = None, spread: dict[str, list[str]] | None = None, writer: str | None = None, epoch: int | None = None) -> bool:
     """Appends the tables' rows to the relations under root as one batch: all are staged in the batch's own folders, and the batch counts once its commit is written, last.
 
     keyed: relations whose rows carry a column bucket; a batch writes the buckets that it touches, whole, and they stand for these buckets from
-    then on (see latest()). writer and epoch: a stream's name and its own number of the batch, which make a repeated one known under any batch number.
+    then on (see latest()), or add to what they hold (see in_buckets()). spread: further columns by which a relation's buckets are cut among tasks. writer and epoch: a stream's name and its own number of the batch, which make a repeated one known under any batch number.
     One writer at a time. False, and nothing is done, for a batch that is there already; what a failed try staged is overwritten.
     """
     if is_done(spark, root, batch) or (writer is not None and is_done(spark, root, writer=writer, epoch=epoch)):
@@ -78,7 +78,7 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch:
         df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
     for name, df in (keyed or {}).items():
         path = f"{root}/{name}/batch={batch}"
-        df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        df.repartition("bucket", *(spread or {}).get(name, [])).write.mode("overwrite").partitionBy("bucket").parquet(path)
         rows += [(batch, name, r["bucket"], writer, epoch) for r in spark.read.schema(df.schema).parquet(path).select("bucket").distinct().collect()]
     spark.createDataFrame(rows, COMMIT).coalesce(1).write.mode("overwrite").json(f"{root}/commits/{batch}")
     return True
@@ -86,10 +86,21 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch:
 
 def latest(spark: SparkSession, root: str, name: str, schema: T.StructType, buckets: Iterable[int] | None = None) -> DataFrame:
     """A keyed relation: every bucket, or those asked for, as the last batch that touched it left it. Only their folders are read; a commit row for each bucket reaches the driver."""
+    return _in_folders(spark, root, name, schema, _bucketed(spark, root, name, buckets).groupBy("bucket").agg(F.max("batch").alias("batch")))
+
+
+def in_buckets(spark: SparkSession, root: str, name: str, schema: T.StructType, buckets: Iterable[int]) -> DataFrame:
+    """A bucketed relation to which each batch adds: the rows of all batches in the buckets asked for, whose folders alone are read. A commit row for each bucket asked for and batch reaches the driver."""
+    return _in_folders(spark, root, name, schema, _bucketed(spark, root, name, buckets).select("batch", "bucket").distinct())
+
+
+def _bucketed(spark: SparkSession, root: str, name: str, buckets: Iterable[int] | None) -> DataFrame:
     done = _commits(spark, root).filter((F.col("relation") == name) & F.col("bucket").isNotNull())
-    newest = done.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
-    wanted = None if buckets is None else set(buckets)
-    paths = [f"{root}/{name}/batch={r['batch']}/bucket={r['bucket']}" for r in newest if wanted is None or r["bucket"] in wanted]
+    return done if buckets is None else done.filter(F.col("bucket").isin(*buckets))
+
+
+def _in_folders(spark: SparkSession, root: str, name: str, schema: T.StructType, found: DataFrame) -> DataFrame:
+    paths = [f"{root}/{name}/batch={r['batch']}/bucket={r['bucket']}" for r in found.collect()]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
