@@ -29,7 +29,7 @@ LIMITS = {"episodes": (50, 500), "notes": (50, 500), "reflections": (20, 100), "
 
 def link(embeddings: DataFrame, notes: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILAR, new: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(source_id, target_id, similarity): the k nearest active others of each of the new notes (note_id), and only then those alike enough. Without new, every active note is linked. within: a column of the embeddings that both must share."""
-    active = embeddings.join(notes.filter("superseded_at is null").select("note_id"), "note_id")
+    active = stored(embeddings.join(notes.filter("superseded_at is null").select("note_id"), "note_id"), "active")  # read for both sides and their sizes
     sources = None if new is None else active.join(new.select("note_id").distinct(), "note_id", "left_semi")
     return knn(active, k, sources=sources, within=within).withColumn("similarity", similarity(F.col("distance"))).filter(F.col("similarity") >= least).drop("distance")
 

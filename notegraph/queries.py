@@ -17,6 +17,7 @@ from notegraph.functions import scalars as f
 from notegraph.operators import fusion, graph, lexical, memory, mutations, vector
 from notegraph.plans.search import Memory, Search, SearchOptions, SearchRequest, context_block
 from notegraph.sources import connectors
+from notegraph.storage import stored
 
 NOW, T = "2024-02-15 00:00:00", "1996-06-01 00:00:00"
 TERMS = ["the", "and", "of"]
@@ -453,7 +454,7 @@ def link_knn(spark, sf):
 
 @query(f"WITH {V_NOTES}, {_KNN} SELECT source_id, target_id, CASE WHEN target_id % 3 = 0 THEN 'related-to' ELSE 'supports' END AS relation_type FROM k WHERE greatest(0, 1 - d) >= 0.30 AND (source_id + target_id) % 2 = 0 AND target_id % 5 <> 0")
 def link_judged(spark, sf):
-    links = memory.link(a.note_embeddings(spark, sf), a.notes(spark, sf))
+    links = stored(memory.link(a.note_embeddings(spark, sf), a.notes(spark, sf)), "links")  # read three times
     j = links.select("source_id", "target_id", ((F.col("source_id") + F.col("target_id")) % 2 == 0).alias("related"), F.when(F.col("target_id") % 3 == 0, " ").otherwise("supports").alias("relation_type"), F.lit(0.6).alias("confidence"))
     old = links.filter("target_id % 5 = 0").select("source_id", "target_id")
     return memory.judged_links(links, j, old).select("source_id", "target_id", "relation_type")

@@ -19,7 +19,7 @@ from notegraph.plans.search import Search, SearchOptions, SearchRequest
 from notegraph.queries import NOW, ORACLE, QUERIES, TERMS, V_EDGES, V_NOTES, V_REFLECTIONS, _active, _fused, _KNN, _r, _stamp, _vec, _vector, query
 from notegraph.schemas import CASCADE, SET_NULL
 from notegraph.sources import backups, requests
-from notegraph.storage import shared_dir
+from notegraph.storage import shared_dir, stored
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -190,7 +190,7 @@ _NEW = f"SELECT source_id, target_id, greatest(0, 1 - d) AS similarity FROM k JO
 
 def _links(spark, sf):
     new = a.raw_notes(spark, sf).filter("created_at >= timestamp '2024-01-08'")
-    return memory.link(a.note_embeddings(spark, sf), a.notes(spark, sf), new=new)
+    return stored(memory.link(a.note_embeddings(spark, sf), a.notes(spark, sf), new=new), "links")
 
 
 @query(f"WITH {V_NOTES}, {_KNN} SELECT source_id, target_id, round(similarity, 6) AS similarity FROM ({_NEW})")

@@ -50,3 +50,24 @@ def test_positional_rank(spark):
     (one,) = lexical.top_k_positions(notes.filter("note_id = 5"), ["cat"], 10).collect()
     assert one["score"] == pytest.approx((1 + 1 / 4) / 1.64493406685, abs=1e-6)
     assert lexical.top_k_positions(notes, [], 10).isEmpty() and lexical.top_k_positions(notes, ["nowhere"], 10).isEmpty()
+
+
+def test_nearest_decides_copies_and_ties_exactly(spark):
+    """Blocks multiplied by tiles in single precision give brute force's neighbours, and of a block's copies k + 1 alone are looked at."""
+    import numpy as np
+
+    from notegraph.operators import vector
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1500, 16)).astype(np.float32)
+    v[500:900] = v[7]
+    v[1000] = 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "note_id long, embedding array<float>")
+    got = {(r["source_id"], r["target_id"]) for r in vector.knn(rows, 3, block=400).collect()}
+    with np.errstate(invalid="ignore"):
+        u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    best = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :3]
+    assert got == {(i, int(j)) for i in range(1500) if i != 1000 for j in best[i]}
+    assert len(vector._first_copies(v, 3)) == 1500 - 401 + 4
