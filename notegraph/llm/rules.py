@@ -14,12 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import forget, let, quoted, stored
+from notegraph.llm.common import forget, let, quoted, sized, stored
 
 #: Buckets of hashed grams, the width of a window, and parts of a nat in which a bucket's log ratio is held, so that sums are exact.
 BUCKETS, WINDOW, UNIT = 1 << 16, 5, 10_000
-#: Bounds of the labelled samples, the first by hash of their ids: trusted documents that are learned, and others that set the threshold.
-TRUSTED, CALIBRATION = 50_000, 10_000
 #: The share of trusted documents that may lie below the threshold.
 LOST = 0.0025
 
@@ -90,18 +88,17 @@ def _mean(words: Column, ratios: list[int]) -> Column:
     return F.when(F.size(words) > 0, total / ((2 * F.size(words) - 1) * F.lit(float(UNIT)))).otherwise(F.lit(0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", trusted: int = TRUSTED, calibration: int = CALIBRATION, lost: float = LOST) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", lost: float = LOST) -> Model:
     """The corpus' multinomial from all documents, the trusted one from documents labelled 1, the threshold from others labelled 1.
 
-    By the remainder of crc32(id as text) by 5, labels of 0 are never read, those of 1 set the threshold and the others are learned; of either
-    at most the first calibration and trusted ids by hash. An id with several labels counts by its least. Null ids and
-    other labels are ignored. What reaches the driver is a count for each bucket; what is broadcast, the sampled ids.
+    By the remainder of crc32(id as text) by 5, labels of 0 are never read, those of 1 set the threshold and the others are learned, all of
+    them. An id with several labels counts by its least. Null ids and other labels are ignored. What reaches the driver is a count for each
+    bucket and the two scores about the threshold; what is broadcast, the labelled ids, if they are few enough; otherwise texts are dealt by id, once all and once a fifth.
     """
     known = labels.filter(F.col(quoted(id_col)).isNotNull()).groupBy(F.col(quoted(id_col)).cast("long").alias("of")).agg(F.min(quoted(label_col)).alias("label")).filter("label = 1")
     part = F.crc32(F.col("of").cast("string")) % 5
-    first = lambda rows, n: rows.orderBy(F.xxhash64("of"), "of").limit(n)
-    sample = stored(first(known.filter(part > 1), trusted).select("of", F.lit(1).alias("learned")).unionByName(first(known.filter(part == 1), calibration).select("of", F.lit(0).alias("learned"))), "trusted")
-    rows = _rows(docs, id_col, text_col).select("id", "t").join(F.broadcast(sample), F.col("id") == F.col("of"), "left")
+    known = stored(known.filter(part > 0).select("of", F.when(part > 1, 1).otherwise(0).alias("learned")), "trusted")
+    rows = _rows(docs, id_col, text_col).select("id", "t").join(sized(known), F.col("id") == F.col("of"), "left")
     grams = let(words_of(F.col("t")), lambda w: F.flatten(F.transform(w, lambda x, i: F.when(i > 0, F.array(_bucket(x), _pair(w, x, i))).otherwise(F.array(_bucket(x))))))
     counts = rows.select(F.coalesce("learned", F.lit(0)).alias("learned"), F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("learned").alias("trusted")).collect()
     n, t = sum(r["n"] for r in counts), sum(r["trusted"] for r in counts)
@@ -110,12 +107,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         of = {r["bucket"]: (r["n"], r["trusted"]) for r in counts}
         log = lambda in_corpus, in_trusted: math.log((in_trusted + 1) / (t + BUCKETS)) - math.log((in_corpus + 1) / (n + BUCKETS))
         ratios = [round(UNIT * log(*of.get(b, (0, 0)))) for b in range(BUCKETS)]
-        others = rows.filter(F.col("learned") == 0).select(_counted(F.col("t"), ratios).alias("c"))
-        model = Model(ratios, others.agg(F.percentile(F.when(~_failed(F.col("c.n_words"), F.col("c.n_repeat_words")), F.col("c.score")), F.lit(lost))).first()[0])
-    forget(sample)
+        others = _rows(docs, id_col, text_col).select("id", "t").filter(F.crc32(F.col("id").cast("string")) % 5 == 1)
+        scores = others.join(sized(known.filter("learned = 0")), F.col("id") == F.col("of")).select(_counted(F.col("t"), ratios).alias("c"))
+        scores = stored(scores.select(F.when(~_failed(F.col("c.n_words"), F.col("c.n_repeat_words")), F.col("c.score")).alias("score")), "scores")  # a filter would count words twice
+        model = Model(ratios, _share(scores.filter("score is not null"), lost))
+        forget(scores)
+    forget(known)
     return model
 
 
+def _share(scores: DataFrame, lost: float) -> float | None:
+    """The value below which a share lost of all scores lies, between the two next to it, exactly; null without scores. A task keeps its lowest ones alone, that share of all and two more at most."""
+    n = scores.count()
+    if not n:
+        return None
+    at = lost * (n - 1)
+    low = math.floor(at)
+    ends = [r["score"] for r in scores.orderBy("score").offset(low).limit(2).collect()]
+    return ends[0] if at == low else (low + 1 - at) * ends[0] + (at - low) * ends[1]
+
+
 def _failed(n_words: Column, n_repeat_words: Column) -> Column:
     share, most = REPEATED
     return (n_words < LEAST_WORDS) | (share * n_repeat_words > most * n_words)

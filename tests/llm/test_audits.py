@@ -184,3 +184,21 @@ def test_divergence(spark, odd, least):
 
 def test_divergence_without_rows(spark, odd):
     assert divergence.audit(odd.limit(0)).count() == 0
+
+
+def test_rules_learn_from_all_labels(spark):
+    """More labelled documents than any sample held: the counts are those of all outside the remainders 0 and 1."""
+    import math
+
+    n = 90_000
+    frame = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("good").alias("text"))
+    model = rules.fit(frame, frame.select("doc_id", F.lit(1).alias("quality")))
+    t = sum(zlib.crc32(str(i).encode()) % 5 > 1 for i in range(n))
+    bucket = spark.range(1).select(rules._bucket(F.lit("good"))).first()[0]
+    assert model.ratios[bucket] == round(rules.UNIT * (math.log((t + 1) / (t + rules.BUCKETS)) - math.log((n + 1) / (n + rules.BUCKETS))))
+
+
+@pytest.mark.parametrize("n", [1, 2, 399, 401, 1000])
+def test_rules_threshold_is_the_percentile(spark, n):
+    scores = spark.range(n).select(F.rand(n).alias("score"))
+    assert rules._share(scores, 0.0025) == pytest.approx(scores.agg(F.percentile("score", F.lit(0.0025))).first()[0], abs=1e-12)
