@@ -117,3 +117,16 @@ def test_a_bad_name_leaves_no_mark(spark, tmp_path):
     with pytest.raises((PythonException, Exception), match="no file may be named"):
         bad.write.format("text_files").mode("append").option("path", str(tmp_path / "out")).save()
     assert not (tmp_path / "out" / "_SUCCESS").exists()
+
+
+def test_index_without_a_shuffle(spark):
+    """A note's postings come from its row alone, a long one's too, and are those of plain Python."""
+    notes = some_notes(spark).unionByName(spark.createDataFrame([("g", "p", " ".join(f"w{i % 700}" for i in range(20_000)), "w1", ["w1"])], NOTES))
+    rows = lexical.index(notes)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r["note_id"], r["term"]): r for r in rows.collect()}
+    long = got["g", "w1"]
+    at = [i + 1 for i in range(20_000) if i % 700 == 1] + [20_001, 20_002]
+    assert long["times"] == len(at) - 2 and long["length"] == 20_000 and long["score"] == pytest.approx(len(at) - 2 + 0.5)
+    assert [p["at"] for p in long["places"]] == sorted({min(x, 16_383) for x in at}) + [16_383] * 2
+    assert [tuple(p) for p in got["a", "green"]["places"]] == [(2, 1.0), (4, 0.4)] and len(got) == 700 + 12
