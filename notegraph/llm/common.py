@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 #: Rows of a few longs that may be broadcast (16 to 32 MB).
 BROADCAST_ROWS = 1_000_000
+#: Broadcasts of so many rows each that one join may hold.
+SLICES = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +58,17 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def met_with(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with few narrow rows of a stored() table, which is broadcast, in SLICES of BROADCAST_ROWS at most: no row of rows moves. With still more of them both sides are shuffled."""
+    n = math.ceil(few.count() / BROADCAST_ROWS)
+    if n > SLICES:
+        return rows.join(few, on)
+    if n <= 1:
+        return rows.join(F.broadcast(few), on)
+    own = F.pmod(F.xxhash64(*on), F.lit(n))
+    return reduce(DataFrame.unionByName, [rows.filter(own == i).join(F.broadcast(few.filter(own == i)), on) for i in range(n)])
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
@@ -68,3 +84,9 @@ def forget(df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles of plans that are done. It does when the driver's references to them are collected, by default only every 30 minutes or so; till then their files fill the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import forget, quoted, sized, small_batches, stored
+from notegraph.llm.common import forget, quoted, release, sized, small_batches, stored
 from notegraph.llm.graph import components
 
 U = np.uint64
@@ -361,11 +361,14 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     digest = stored(digests(rows, width), "digests")
     buckets = max(BUCKETS, digest.count() // BUCKET_DOCS)
     classes = digest.filter("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    candidates = components(stored(_edges(_signature_rows(rows, width, num, den, buckets)), "candidates"))
+    edges = stored(_edges(_signature_rows(rows, width, num, den, buckets)), "candidates")
+    release(docs.sparkSession)  # signatures are most of what moves
+    candidates = components(edges)
     nodes = classes.filter("rep is not null").join(candidates, F.col("h1") == F.col("node")).select("node", "rep", "copies", F.col("component").alias("c"))
     sizes = nodes.groupBy("c").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     chosen = stored(nodes.join(sizes, "c").select("node", "rep", "copies", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")), "chosen")
+    forget(edges)
     texts = rows.join(sized(chosen), F.col("doc_id") == F.col("rep"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("c", "blocks", "block", each, "node", "copies", "text").select(
@@ -376,6 +379,8 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     roots = found.groupBy("node").agg(F.sum("degree").alias("degree"), F.min(F.when(F.col("whole"), F.col("least"))).alias("least"))
     roots = roots.join(wide.select("node", F.col("component").alias("wide")), "node", "left").select("node", "degree", F.coalesce("least", "wide", "node").alias("root"))
     linked = stored(classes.join(roots, F.col("h1") == F.col("node")).select("n_shingles", "h1", "h2", "rep", "copies", "degree", "root"), "linked")
+    forget(chosen)
+    forget(found)
     firsts = linked.groupBy("root").agg(F.min("rep").alias("first"))
     linked = linked.join(firsts, "root").select(F.col("n_shingles").alias("n"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first", "degree")
     same = lambda: (F.col("n_shingles") == F.col("n")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))

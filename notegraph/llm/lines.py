@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import forget, let, quoted, small_batches, stored
+from notegraph.llm.common import forget, let, met_with, quoted, release, small_batches, stored
 from notegraph.llm.graph import components
 
 VARIABLE = b"<*>"
@@ -155,8 +155,8 @@ def recurring(placed: DataFrame, *, min_docs: int = MIN_DOCS, depth: int = DEPTH
     """
     met = stored(placed.groupBy("leaf", "line", "copy").agg(F.min("doc_id").alias("id")), "lines")
     by_line = stored(met.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("id").alias("first")), "by_line")
-    open_ = by_line.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    texts = placed.select("leaf", "line", "tokens").join(open_, "leaf").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    open_ = stored(by_line.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf"), "leaves")
+    texts = met_with(placed.select("leaf", "line", "tokens"), open_, ["leaf"]).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     texts = stored(texts.join(by_line.drop("first"), ["leaf", "line"]).withColumn("node", F.xxhash64("leaf", "line")), "open")
     units = _units(texts, similar, depth)
     first_round = texts.join(units, "node").select(F.col("component").alias("unit"), F.pmod(F.xxhash64("line"), F.lit(PARTS)).cast("int").alias("part"), "leaf", "line", "docs", "tokens")
@@ -168,7 +168,7 @@ def recurring(placed: DataFrame, *, min_docs: int = MIN_DOCS, depth: int = DEPTH
     parsed = of.join(counts, ["leaf", "template"]).select("leaf", "line", "first")
     alone = by_line.filter(F.col("docs") >= min_docs).join(of, ["leaf", "line"], "left_anti").select("leaf", "line", "first")
     found = stored(parsed.unionByName(alone), "recurring")
-    for used in (met, by_line, texts, one, of):
+    for used in (met, by_line, open_, texts, one, of):
         forget(used)
     return found
 
@@ -184,15 +184,17 @@ def drop_recurring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
     placed = stored(lines_of(docs, id_col, text_col, min_tokens, depth, similar), "placed", compression="zstd")
     gone = recurring(placed, min_docs=min_docs, depth=depth, similar=similar)
-    hits = placed.select("key", "doc_id", "at", "leaf", "line").join(gone, ["leaf", "line"]).filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("doc_id")))
+    hits = met_with(placed.select("key", "doc_id", "at", "leaf", "line"), gone, ["leaf", "line"]).filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("doc_id")))
     marks = stored(hits.groupBy(F.col("key").alias("k")).agg(F.collect_set("at").alias("ats")), "marks")
     forget(placed)
     forget(gone)
+    release(docs.sparkSession)
     if dropped_col:
         docs = docs.drop(quoted(dropped_col))
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(quoted(id_col)).cast("long"), F.xxhash64(text)).alias("key"))
-    joined = whole.join(marks, F.col("key") == F.col("k"), "left")
+    # Texts are always dealt by key and never sorted, so that what moves is in proportion to the input at any size.
+    joined = whole.join(marks.hint("shuffle_hash"), F.col("key") == F.col("k"), "left")
     old = F.col(f"row.{quoted(text_col)}")
     kept = let(F.split(old, "\n", -1), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("ats")), lambda i: F.get(parts, i)), "\n"))
     row = F.col("row").withField(quoted(text_col), F.when(F.col("ats").isNull(), old).otherwise(kept))

@@ -713,6 +713,23 @@ def test_lines_of_two_texts_recur(spark):
     assert kept.agg(F.sum("n_dropped")).first()[0] == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 40, 1])
+def test_lines_stay_where_they_are(spark, monkeypatch, most):
+    """Leaves and recurring lines meet all lines as one broadcast, in slices, or by a shuffle where they are too many: same rows. A broadcast moves no line."""
+    from notegraph.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    few = common.stored(spark.range(100).select((F.col("id") * 3).alias("leaf")), "few")
+    rows = spark.range(400).select((F.col("id") % 200).alias("leaf"), F.col("id").alias("line"))
+    got = common.met_with(rows, few, ["leaf"])
+    assert sorted(map(tuple, got.collect())) == [(i % 200, i) for i in sorted(range(400), key=lambda i: (i % 200, i)) if i % 200 % 3 == 0]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == {1_000_000: 1, 40: 3, 1: 0}[most]
+    text = [(i, f"alpha beta gamma {w} epsilon zeta eta theta\nonly {i} here") for i, w in enumerate("abcabd")]
+    made = lines.drop_recurring(spark.createDataFrame(text, "doc_id long, text string"))
+    assert sum(r["n_dropped"] for r in made.collect()) > 0 and "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_pass_clashing_columns(spark):
     rows = [(1, "a line that stands twice\nx", 5, "v", "w"), (2, "a line that stands twice", None, None, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_dropped int, `a.b` string, line string")
