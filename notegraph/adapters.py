@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notegraph.storage import sized, stored
+
 EPOCH = "2024-01-01 00:00:00"
 
 
@@ -37,9 +39,9 @@ def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes with superseded_at: a day after the creation of each later copy."""
-    gone = superseded(spark, sf_dir).withColumn("gone", F.lit(True))
-    return raw_notes(spark, sf_dir).join(gone, "note_id", "left").withColumn("superseded_at", F.when(F.col("gone"), F.col("created_at") + F.expr("interval 1 day"))).drop("gone")
+    """Notes with superseded_at: a day after the creation of each later copy. The copies' ids are found once and, if they are few enough, broadcast, so that texts don't move."""
+    gone = stored(superseded(spark, sf_dir), "superseded").withColumn("gone", F.lit(True))
+    return raw_notes(spark, sf_dir).join(sized(gone), "note_id", "left").withColumn("superseded_at", F.when(F.col("gone"), F.col("created_at") + F.expr("interval 1 day"))).drop("gone")
 
 
 def note_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

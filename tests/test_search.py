@@ -52,6 +52,17 @@ def test_positional_rank(spark):
     assert lexical.top_k_positions(notes, [], 10).isEmpty() and lexical.top_k_positions(notes, ["nowhere"], 10).isEmpty()
 
 
+def test_texts_are_cut_to_words_once(spark):
+    """However many terms are asked for, and with the filter on what they score."""
+    from notegraph.operators import lexical
+
+    notes = spark.createDataFrame([(1, "The cat and the dog"), (2, "catalogue and dog"), (3, "dog")], "note_id long, content string")
+    for rank in (lexical.top_k, lexical.top_k_positions):
+        found = rank(notes, ["cat", "dog", "and"], 10)
+        assert [r["note_id"] for r in found.collect()] == [1]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_nearest_decides_copies_and_ties_exactly(spark):
     """Blocks multiplied by tiles in single precision give brute force's neighbours, and of a block's copies k + 1 alone are looked at."""
     import numpy as np
