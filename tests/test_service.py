@@ -180,3 +180,11 @@ def test_ppr_by_hand(spark):
     assert got == pytest.approx(p) and "x" not in got
     none = spark.createDataFrame([], "from_id string, to_id string")
     assert graph.ppr(none, spark.createDataFrame([("a",)], "entity_id string")).collect()[0]["mass"] == 1.0
+
+
+def test_extractions_are_made_once(spark, sf):
+    """Rows that are rejected and rows that are not come from one pass over the texts."""
+    from notegraph import service_queries
+
+    plan = service_queries.QUERIES["extract_default"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("from_json(") == 1
