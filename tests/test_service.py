@@ -188,3 +188,15 @@ def test_extractions_are_made_once(spark, sf):
 
     plan = service_queries.QUERIES["extract_default"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1 and plan.count("from_json(") == 1
+
+
+def test_edges_are_sorted_once_for_a_merge(spark, sf):
+    from notegraph import queries
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.QUERIES["edge_merge"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    merged = plan.split("SortMergeJoin")[0]
+    assert merged.count("Sort [project_id") == 1
