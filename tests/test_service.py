@@ -200,3 +200,13 @@ def test_edges_are_sorted_once_for_a_merge(spark, sf):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     merged = plan.split("SortMergeJoin")[0]
     assert merged.count("Sort [project_id") == 1
+
+
+def test_copies_beyond_the_nearest_are_linked(spark):
+    """A new note's earlier copy counts though other new copies of lesser id are as near, and without any vector."""
+    from notegraph.plans import memory as plans
+
+    rows = [("9", "p", "same"), ("1", "p", "same"), ("2", "p", "same"), ("3", "q", "same"), ("4", "p", "alone"), ("5", "p", None), ("6", "p", None)]
+    notes = spark.createDataFrame([(*r, None) for r in rows], "note_id string, project_id string, content string, superseded_at timestamp")
+    new = notes.filter("note_id <> '9'").select("note_id", "project_id")
+    assert sorted(map(tuple, plans._copies(notes, new).collect())) == [("1", "9", 1.0), ("2", "9", 1.0)]
