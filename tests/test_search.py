@@ -1,8 +1,11 @@
 """The hybrid search over the whole memory."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from notegraph import queries
-from notegraph.operators import fusion
+from notegraph.operators import fusion, graph
+from notegraph.storage import bucketed
 
 
 def test_four_streams(spark, sf):
@@ -82,3 +85,18 @@ def test_nearest_decides_copies_and_ties_exactly(spark):
     best = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :3]
     assert got == {(i, int(j)) for i in range(1500) if i != 1000 for j in best[i]}
     assert len(vector._first_copies(v, 3)) == 1500 - 401 + 4
+
+
+def test_walk_stays_where_it_lies(spark, sf):
+    """A join by the key of a bucketed table shuffles the other side alone, and PageRank's result is cut from its steps."""
+    edges = spark.createDataFrame([("a", "b", None), ("b", "c", None), ("b", "c", None), ("d", "d", None)], "from_id string, to_id string, invalidated_at timestamp")
+    rows = edges.selectExpr("from_id a", "to_id b")
+    walk = bucketed(rows, "walk", "a")
+    joined = walk.join(spark.createDataFrame([("b",)], "entity_id string").hint("shuffle_hash"), F.col("a") == F.col("entity_id"))
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(walk.collect()) == sorted(rows.collect())
+    mass = graph.ppr(edges, spark.createDataFrame([("a",), ("z",)], "entity_id string"), steps=2)
+    plan = mass._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    want = {"z": 0.5, "a": 0.075 + 0.5 * 0.85 * 0.85 / 3, "b": 0.075 * 0.85, "c": 0.5 * 0.85 * 0.85 * 2 / 3}
+    assert {r["entity_id"]: round(r["mass"], 9) for r in mass.collect()} == {k: round(v, 9) for k, v in want.items()}
