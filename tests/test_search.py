@@ -100,3 +100,10 @@ def test_walk_stays_where_it_lies(spark, sf):
     assert "Join" not in plan and "Aggregate" not in plan
     want = {"z": 0.5, "a": 0.075 + 0.5 * 0.85 * 0.85 / 3, "b": 0.075 * 0.85, "c": 0.5 * 0.85 * 0.85 * 2 / 3}
     assert {r["entity_id"]: round(r["mass"], 9) for r in mass.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_streams_run_once(spark, sf):
+    """Hits and decision read the fused streams, which are not run for each anew."""
+    found = queries._whole_search(spark, sf)
+    for df in (found.hits, found.decision):
+        assert "embedding" not in df._jdf.queryExecution().optimizedPlan().toString()
