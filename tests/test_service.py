@@ -11,6 +11,7 @@ from notegraph.models import FirstLines, OverlapScorer
 from notegraph.operators import accounts, fusion, memory
 from notegraph.plans import views
 from notegraph.plans.search import Memory, Search, SearchOptions, SearchRequest
+from notegraph.sources import backups
 
 ROWS = "id long, text string"
 
@@ -210,3 +211,12 @@ def test_copies_beyond_the_nearest_are_linked(spark):
     notes = spark.createDataFrame([(*r, None) for r in rows], "note_id string, project_id string, content string, superseded_at timestamp")
     new = notes.filter("note_id <> '9'").select("note_id", "project_id")
     assert sorted(map(tuple, plans._copies(notes, new).collect())) == [("1", "9", 1.0), ("2", "9", 1.0)]
+
+
+def test_backup_is_gzipped(spark, tmp_path):
+    """A backup's files are compressed, and hold every row in order of time."""
+    rows = spark.createDataFrame([(str(i), f"text {i} " * 50, f"2024-01-{i + 1:02d}") for i in range(20)], "id string, content string, ingested_at string")
+    tally = backups._written(rows.orderBy("ingested_at"), f"{tmp_path}/episodes")
+    files = [f for f in (tmp_path / "episodes").iterdir() if f.name.startswith("part-")]
+    assert tally == (20, 20) and files and all(f.name.endswith(".json.gz") for f in files)
+    assert sorted(spark.read.schema(rows.schema).json(f"{tmp_path}/episodes").collect()) == sorted(rows.collect())
