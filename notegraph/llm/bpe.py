@@ -17,13 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import let, quoted, stored
+from notegraph.llm.common import quoted, stored
 
 #: Splits a text before the merges; fixed by the vocabulary. White space is spelled out, since Java's \s is ASCII.
 SPACE = r"\t-\r \x{85}\p{Z}"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Documents whose words are counted for the cache, the most words it holds (some 100 bytes each in a task), and words of one of its maps.
-SAMPLE_DOCS, CACHED_WORDS, LOAD = 40_000, 524_288, 6
+SAMPLE_DOCS, CACHED_WORDS, LOAD = 40_000, 524_288, 2
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,41 +82,63 @@ class Merges:
     def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """body, given the function that folds a piece; the literals stand in the plan once."""
         tables = F.struct(*(literal(getattr(self, k), "int").alias(k) for k in ("move", "check", "made", "bytes")))
-        return let(tables, lambda t: body(lambda piece: fold(piece, t)))
+        return bind(tables, lambda t: body(lambda piece: fold(piece, t, len(self.move))))
 
 
-#: In a fold's state, ids stand from BASE up, and a pair without a rank counts as UNRANKED, which is more than every rank.
-BASE, UNRANKED = 1 << 20, 1 << 19
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """As let, but body's result is not copied: transform() copies what its lambda returns, number by number in an array, where aggregate() hands on what its finish returns."""
+    return F.aggregate(F.array(), value, lambda bound, _: bound, body)
 
 
-def fold(piece: Column, tables: Column) -> Column:
-    """The ids of one piece: at each step the leftmost of the pairs of least rank is merged.
+def fold(piece: Column, tables: Column, size: int) -> Column:
+    """The ids of one piece: at each step the leftmost of the pairs of least rank is merged. size: of the vocabulary.
 
-    The state is one array: ids, and between each two the rank of their pair. The bytes' ids stand between two
-    marks that pair with nothing, so each pair has a left and a right neighbour.
+    The state is one array with a number for each id: the rank of its pair with the next id, its index, and the id. So the least number
+    is the pair to merge and says where it is: array_position() would throw an exception to leave its loop, which takes longer than all
+    the rest of a step. The bytes' ids stand between two marks that pair with nothing, so each pair has a left and a right neighbour.
+    A pair without a rank counts as more than every rank.
     """
+    width = size.bit_length()
+    mark, unranked = (1 << width) - 1, 1 << width
+    shift = 62 - width  # an index has what the rank and the id leave: 30 bits of a vocabulary of 50,256
+    one, below = 1 << width, (1 << shift) - 1
 
     def rank(a: Column, b: Column) -> Column:
-        """The marks, -1, have no move and are no entry's left."""
-        return let(F.get(tables["move"], a) + b, lambda at: F.when(F.get(tables["check"], at) == a, F.get(tables["made"], at)).otherwise(UNRANKED))
+        """The marks have no move and are no entry's left; ids beyond the end are null."""
+        return bind(F.get(tables["move"], a) + b, lambda at: F.when(F.get(tables["check"], at) == a, F.get(tables["made"], at)).otherwise(unranked))
+
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(mark).cast("long")).cast("int")
+
+    def ranked(r: Column, rest: Column) -> Column:
+        return F.shiftleft(r.cast("long"), shift) + rest
+
+    def merged(s: Column, least: Column, k: Column, new: Column) -> Column:
+        """s without its number k + 1. One pass over places, since slice() is slow here."""
+        left = F.get(s, k - 1)
+        before = ranked(rank(id_of(left), new), left.bitwiseAND(F.lit(below)))
+        here = ranked(rank(new, id_of(F.get(s, k + 2))), least.bitwiseAND(F.lit(below - mark)) + new)
+
+        def placed(i: Column, p: Column, q: Column) -> Column:
+            return F.when(i < k - 1, F.get(s, i)).when(i > k, F.get(s, i + 1) - F.lit(one).cast("long")).when(i == k, q).otherwise(p)
+
+        return bind(before, lambda p: bind(here, lambda q: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: placed(i, p, q))))
 
     def step(s: Column, _: Column) -> Column:
-        def merged(k: Column, least: Column) -> Column:
-            """k: the place of the pair's rank, from 1."""
-            new = F.array(rank(F.get(s, k - 4) - BASE, least), least + BASE, rank(least, F.get(s, k + 2) - BASE))
-            return F.flatten(F.array(F.slice(s, 1, k - 3), new, F.slice(s, k + 3, F.size(s))))
+        def merge(least: Column) -> Column:
+            """Its index is from 0."""
+            index = F.shiftright(least.bitwiseAND(F.lit(below)), width).cast("int")
+            return bind(index, lambda k: bind(F.shiftright(least, shift).cast("int"), lambda new: merged(s, least, k, new)))
 
-        return let(F.array_min(s), lambda least: F.when(least == UNRANKED, s).otherwise(let(F.array_position(s, least).cast("int"), lambda k: merged(k, least))))
+        return bind(F.array_min(s), lambda least: F.when(least >= F.lit(unranked << shift), s).otherwise(merge(least)))
 
     def start(ids: Column) -> Column:
-        n = F.size(ids)
-        pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.array(F.get(ids, i) + BASE, rank(F.get(ids, i), F.get(ids, i + 1)))))
-        return F.aggregate(F.sequence(F.lit(2), n - 2), F.flatten(F.array(pairs, F.array(F.lit(BASE - 1)))), step, lambda s: F.transform(F.filter(s, lambda x: x >= BASE), lambda x: x - BASE))
+        state = F.transform(ids, lambda a, i: ranked(rank(a, F.get(ids, i + 1)), F.shiftleft(i.cast("long"), width) + a))
+        return F.aggregate(F.sequence(F.lit(2), F.size(ids) - 2), state, step, lambda s: F.transform(F.slice(s, 2, F.size(s) - 2), id_of))
 
     letters = F.split(F.decode(F.encode(piece, "utf-8"), "ISO-8859-1"), "")
-    mark = F.array(F.lit(-1))
-    ids = F.flatten(F.array(mark, F.transform(letters, lambda c: F.get(tables["bytes"], F.ascii(c))), mark))
-    return let(ids, start)
+    marks = F.array(F.lit(mark))
+    return bind(F.flatten(F.array(marks, F.transform(letters, lambda c: F.get(tables["bytes"], F.ascii(c))), marks)), start)
 
 
 def split_words(text: Column) -> Column:
@@ -151,7 +173,7 @@ def lookup(words: DataFrame) -> Callable[[Callable[[Callable[[Column], Column]],
     maps = words.groupBy(place(F.col("w")).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("held"))
     every = words.sparkSession.range(n).join(maps, "id", "left").repartition(1).sortWithinPartitions("id")
     held = constant(every.agg(F.collect_list(F.coalesce("held", F.expr("cast(map() as map<string,array<int>>)"))).alias("held")))
-    return lambda body: let(held, lambda m: body(lambda w: F.try_element_at(F.get(m, place(w).cast("int")), w)))
+    return lambda body: bind(held, lambda m: body(lambda w: F.try_element_at(F.get(m, place(w).cast("int")), w)))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", ids_col: str = "token_ids", sample_docs: int = SAMPLE_DOCS, cached_words: int = CACHED_WORDS) -> DataFrame:
@@ -179,10 +201,10 @@ def piece_table(vocabulary_path: str) -> list[str]:
 def decode(ids: Column, vocabulary_path: str) -> Column:
     """The bytes of a sequence of ids: their binary pieces, one after another. Ids outside the vocabulary give null."""
     pieces = literal(piece_table(vocabulary_path), "string")
-    return let(pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "", null_replacement="!")))
+    return bind(pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "", null_replacement="!")))
 
 
 def packed(ids: Column, size: int) -> Column:
     """ids as little-endian unsigned 32-bit integers. size: of the vocabulary."""
     words = literal([struct.pack("<I", i).hex() for i in range(size)], "string")
-    return let(words, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
+    return bind(words, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
