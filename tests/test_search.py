@@ -107,3 +107,12 @@ def test_streams_run_once(spark, sf):
     found = queries._whole_search(spark, sf)
     for df in (found.hits, found.decision):
         assert "embedding" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_without_a_direction_are_not_near(spark):
+    """Words whose signs cancel give the zero vector, which has no distance; it came before all others."""
+    from notegraph.operators import vector
+
+    notes = spark.createDataFrame([(i,) for i in range(5)], "note_id long")
+    held = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, None), (4, [-1.0, 0.0])], "note_id long, embedding array<float>")
+    assert [(r["note_id"], r["rank"]) for r in vector.top_k(notes, held, [1.0, 0.0], 4).collect()] == [(2, 1), (1, 2), (4, 3)]
