@@ -6,8 +6,9 @@ k // (k2 + 1) differ in no more than k2 elements, and each part into second-leve
 signatures in so many parts. A signature of no elements says nothing and is left out. So many parts are cut that
 few sets have as many parts with such a signature as must match; those that do are signed anew with another cut.
 
-Sharing a signature only makes candidates: their connected components are small or are cut in blocks,
-and inside them every link is verified on the whole sets.
+Sharing a signature only makes candidates. Chance pairs chain ever more documents to one component as the input grows, so large components
+are cut by sketches: counts of shingles by cells, which bound what two sets have in common. What is left of them is small or is cut in blocks,
+and inside components every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import forget, quoted, release, sized, small_batches, stored
+from notegraph.llm.common import forget, met_with, quoted, release, sized, small_batches, stored
 from notegraph.llm.graph import components
 
 U = np.uint64
@@ -31,6 +32,8 @@ P1, P2, P3 = U(0x9E3779B185EBCA87), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 WORDS = 500_000
 #: Documents of one candidate component that a task verifies together; larger components go by pairs of blocks.
 BLOCK = 2048
+#: Cells of a sketch, which counts up to 255 shingles in each, and sketches of a block: those of equal or adjacent bands of sizes meet in pairs of blocks.
+CELLS, SKETCHES = 512, 8192
 #: Documents whose signatures leave a task together; documents for which a bucket of signatures is made, and the least buckets.
 FORWARD_DOCS, BUCKET_DOCS, BUCKETS = 2048, 8192, 128
 #: Cuts of the domain that are tried for a set with too many empty signatures.
@@ -305,6 +308,82 @@ def verify(nodes: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side:
     return least[roots], degree
 
 
+def sketch(s: np.ndarray) -> bytes | None:
+    """How many of a set's shingles are in each cell; nothing where that is more than a byte holds."""
+    n = np.bincount((mix(s ^ P3) % U(CELLS)).astype(np.int64), minlength=CELLS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
+def _sketches(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(c, node, band, cells) of rows (c, node, text): the band of the set's size and its sketch()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, bands = Shingler(width), Signatures(num, den)
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            found = [(c, node, bands.band(len(s)), sketch(s)) for c, node, s in ((c, node, shingle(text)) for c, node, text in rows) if len(s) and _class_key(s)[0] == node]  # not another text of the row's id
+            cols = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 3 else pa.int64()) for i, x in enumerate(cols)], ["c", "node", "band", "cells"])
+
+    return texts.select("c", "node", "text").mapInArrow(run, "c long, node long, band long, cells binary").dropDuplicates(["node"])
+
+
+def likely(cells: np.ndarray, known: np.ndarray, side: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Each sketch's group: the least place that it reaches by pairs (with side: of its two values) that may be similar enough. Two sets have no more in common than the lesser count of each cell, summed; one that is not known may be like all."""
+    size = np.where(known, cells.sum(axis=1, dtype=np.int64), 0)
+    coarse = cells.reshape(len(cells), 64, CELLS // 64).sum(axis=2, dtype=np.uint16)  # rules most pairs out
+    group, order = np.arange(len(cells)), np.argsort(size, kind="stable")
+    sides = [(order, order)] if side is None else [(order[side[order] == v], order[side[order] != v]) for v in np.unique(side)]
+    for own, other in sides:
+        sizes, held = size[other], coarse[other]
+        for i in own:
+            # the other is at least as large, and no larger than num / den allows
+            lo, hi = (np.searchsorted(sizes, size[i]), np.searchsorted(sizes, size[i] * den // num, "right")) if known[i] else (0, len(other))
+            at = other[lo:hi]
+            for one, many in ((coarse[i], held[lo:hi]), (cells[i], None)) if known[i] else ():
+                most = np.minimum(cells[at] if many is None else many, one).sum(axis=1, dtype=np.int64)
+                at = at[most * (num + den) >= num * (size[i] + size[at])]
+            met = np.unique(np.append(group[at], group[i]))
+            if len(met) > 1:
+                group[np.isin(group, met[1:])] = met[0]
+    return group
+
+
+def _cut(sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) among the sketches (c, node, band, cells) of each component c, that join all that may be similar enough. Equal and adjacent bands meet, by pairs of blocks, and a task holds one pair at a time. Those without a sketch meet the whole band."""
+    sizes = sketches.groupBy("c", "band").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("n"))
+    block = F.struct("band", F.pmod(F.xxhash64("node"), F.col("n")).cast("long").alias("block"))
+    cut = sketches.join(sizes, ["c", "band"]).select("c", "node", "band", "n", "cells", block.alias("own"))
+    near = sizes.select("c", F.col("band").alias("far"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block")).select("c", "far", F.struct(F.col("far").alias("band"), F.col("block").cast("long").alias("block")).alias("other"))
+    bands = cut.select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("far"))
+    dealt = bands.join(F.broadcast(near), ["c", "far"]).select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("side"), "node", "cells")
+    dealt = dealt.select("c", F.col("i.band").alias("p"), F.col("i.block").alias("i"), F.col("j.band").alias("q"), F.col("j.block").alias("j"), "side", "node", "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            nodes = np.array([r[0] for r in held], np.int64)
+            known = np.array([r[2] is not None for r in held], bool)
+            cells = np.frombuffer(b"".join(r[2] or bytes(CELLS) for r in held), np.uint8).reshape(-1, CELLS)
+            same = now is None or now[1:3] == now[3:5]
+            group = likely(cells, known, None if same else np.array([r[1] for r in held], bool), num, den)
+            held.clear()
+            far = group != np.arange(len(group))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[group[far]]), pa.array(nodes[far])], ["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:5] != now:
+                    yield close()
+                    now = r[:5]
+                held.append((r[6], r[5], r[7]))
+        yield close()
+
+    keys = ["c", "p", "i", "q", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "cells").mapInArrow(run, "a long, b long")
+
+
 def _verified(blocks: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(c, whole, node, least, degree) of rows (c, i, j, side, whole, node, copies, text), by key (c, i, j), of which a task holds one at a time."""
 
@@ -348,8 +427,8 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_c
     the sequence is one shingle. Null, empty or blank text: no shingles, no links. Vertices are texts: rows of one id with
     different texts are several, and nothing is reachable through a shared id. A row without an id has the component of a row with its set, if any, else null. No rows: none.
 
-    Equal sets are one class from the start. What moves are digests, signatures and, once, the
-    texts of candidate classes; components of candidates of more than BLOCK classes are verified by pairs of blocks.
+    Equal sets are one class from the start. What moves are digests, signatures, sketches of large components and, once, the
+    texts of candidate classes; components that still have more than BLOCK classes are verified by pairs of blocks.
     """
     return _joined(docs, width, num, den, id_col, text_col).drop("copy")
 
@@ -364,11 +443,23 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     edges = stored(_edges(_signature_rows(rows, width, num, den, buckets)), "candidates")
     release(docs.sparkSession)  # signatures are most of what moves
     candidates = components(edges)
-    nodes = classes.filter("rep is not null").join(candidates, F.col("h1") == F.col("node")).select("node", "rep", "copies", F.col("component").alias("c"))
+    nodes = stored(classes.filter("rep is not null").join(candidates, F.col("h1") == F.col("node")).select("node", "rep", "copies", F.col("component").alias("c")), "nodes")
+    large = nodes.groupBy("c").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("c")
+    done = [nodes]
+    large = stored(nodes.join(large, "c").select("c", "node", F.col("rep").alias("doc_id")), "large")
+    if not large.isEmpty():
+        sketches = stored(_sketches(met_with(rows, large, ["doc_id"]), width, num, den), "sketches")
+        tight = stored(_cut(sketches, num, den), "tight")
+        done += [sketches, tight]
+        release(docs.sparkSession)
+        tight = components(tight).select("node", F.col("component").alias("own"))
+        apart = large.select("node", F.lit(True).alias("large")).join(tight, "node", "left")
+        nodes = nodes.join(apart, "node", "left").filter("large is null or own is not null").select("node", "rep", "copies", F.coalesce("own", "c").alias("c"))  # a class that is like no other needs no verification
     sizes = nodes.groupBy("c").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     chosen = stored(nodes.join(sizes, "c").select("node", "rep", "copies", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")), "chosen")
-    forget(edges)
+    for table in (edges, large, *done):
+        forget(table)
     texts = rows.join(sized(chosen), F.col("doc_id") == F.col("rep"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("c", "blocks", "block", each, "node", "copies", "text").select(

@@ -757,3 +757,35 @@ def test_leaf_finds_the_most_similar():
         if want == len(founders):
             founders.append(tokens)
         assert leaf.add(tokens) == want
+
+
+def test_chance_candidates_are_cut_before_their_texts_move(spark, monkeypatch):
+    """Documents with a passage in common are candidates of one component; no text is dealt to several blocks for that, and links are those of all pairs."""
+    import random
+
+    import numpy as np
+
+    from notegraph.llm import jaccard
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([*passage, *(word() for _ in range(30))]) for _ in range(60)]
+    texts += [f"{t} {word()}" for t in texts[:5]] + texts[7:9]
+    chosen, stored = [], jaccard.stored
+
+    def kept(df, name, *args):
+        done = stored(df, name, *args)
+        if name == "chosen":
+            chosen.extend(done.collect())
+        return done
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SKETCHES", 16)
+    monkeypatch.setattr(jaccard, "stored", kept)
+    got = {x["doc_id"]: (x["component_id"], x["n_links"]) for x in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [jaccard.Shingler(5)(t) for t in texts]
+    like = lambda a, b: (n := len(np.intersect1d(a, b))) * 180 >= 80 * (len(a) + len(b)) and n > 0
+    links = [{j for j, b in enumerate(sets) if i != j and like(a, b)} for i, a in enumerate(sets)]
+    assert got == {i: (min([i, *ends]), len(ends)) for i, ends in enumerate(links)} and sum(map(len, links)) == 14
+    assert chosen and all(x["blocks"] == 1 for x in chosen)
